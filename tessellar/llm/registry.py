@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from tessellar.llm.decontaminate import OP3_SQL, op3_benchmark_decontamination
 from tessellar.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
 }
 
 SQL = {
     "op1_exact_dedup": OP1_SQL,
+    "op3_benchmark_decontamination": OP3_SQL,
 }
