@@ -6,11 +6,13 @@ from tessellar.llm.decontaminate import OP3_SQL, op3_benchmark_decontamination
 from tessellar.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tessellar.llm.packing import op2_packing
 from tessellar.llm.secrets import op8_secret_scan
+from tessellar.llm.url_filter import op5_url_filter
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op5_url_filter": op5_url_filter,
     "op8_secret_scan": op8_secret_scan,
 }
 
