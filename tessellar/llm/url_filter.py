@@ -101,12 +101,18 @@ def train(labelled: DataFrame, buckets: int = BUCKETS) -> PipelineModel:
     n = rows.count()
     if not 0 < n <= MOST_LABELLED:
         raise ValueError(f"{n} labelled URLs; from 1 to {MOST_LABELLED} are asked for")
-    grams = rows.select(ngrams(host_of(F.col("url")), path_of(F.col("url"))).alias("grams"), F.col("unwanted").cast("double"))
+    share = rows.agg(F.avg("unwanted")).first()[0]
+    grams = rows.select(
+        ngrams(host_of(F.col("url")), path_of(F.col("url"))).alias("grams"),
+        F.col("unwanted").cast("double"),
+        # both classes count the same, however many rows each has
+        F.when(F.col("unwanted") > 0, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)).alias("weight"),
+    )
     return Pipeline(
         stages=[
             HashingTF(inputCol="grams", outputCol="counts", numFeatures=buckets, binary=True),
             Normalizer(inputCol="counts", outputCol="features"),
-            LogisticRegression(labelCol="unwanted", regParam=0.0001, standardization=False, maxIter=60),
+            LogisticRegression(labelCol="unwanted", weightCol="weight", regParam=0.0001, standardization=False, maxIter=60),
         ]
     ).fit(grams.coalesce(1))
 
