@@ -6,6 +6,7 @@ from tessellar.llm.decontaminate import OP3_SQL, op3_benchmark_decontamination
 from tessellar.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tessellar.llm.packing import op2_packing
 from tessellar.llm.secrets import op8_secret_scan
+from tessellar.llm.toxicity import op9_toxicity
 from tessellar.llm.url_filter import op5_url_filter
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_url_filter": op5_url_filter,
     "op8_secret_scan": op8_secret_scan,
+    "op9_toxicity": op9_toxicity,
 }
 
 SQL = {
