@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessellar.llm.decontaminate import OP3_SQL, op3_benchmark_decontamination
 from tessellar.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from tessellar.llm.minhash import OP6_SQL, op6_minhash_dedup
 from tessellar.llm.packing import op2_packing
 from tessellar.llm.secrets import op8_secret_scan
 from tessellar.llm.substring_dedup import OP4_SQL, op4_substring_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_url_filter": op5_url_filter,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
 }
@@ -24,4 +26,5 @@ SQL = {
     "op1_exact_dedup": OP1_SQL,
     "op3_benchmark_decontamination": OP3_SQL,
     "op4_substring_dedup": OP4_SQL,
+    "op6_minhash_dedup": OP6_SQL,
 }

@@ -17,17 +17,15 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessellar.llm.bitmap import BITS, bitmap_of, has
 from tessellar.llm.workspace import Workspace
 
 #: Changes whenever a rule changes; blobs are then scanned again.
 RULE_VERSION = "2024.1"
-#: Bits of the bitmap: 8 MB, whatever the input.
-BITMAP_BITS = 1 << 26
 
 #: Kinds of the base contract: pattern, group whose length counts, least length.
 BASE = (
@@ -111,23 +109,8 @@ class BlobLedger:
         findings.write.mode("append").parquet(self.path)
 
 
-def _bitmap(digests: DataFrame, bits: int) -> np.ndarray:
-    """One bit for each slot that a digest falls in; a bounded number of fixed-size rows reach the driver."""
-    out = np.zeros(bits // 8, np.uint8)
-    slot = F.col("slot")
-    parts = digests.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")
-    )
-    for r in parts.collect():
-        piece = np.frombuffer(bytes(r.bits), np.uint8)
-        # parts count from 1 for slots from 1 on, slot 0 has part 0 of its own
-        at = (r.part - 1) * len(piece)
-        out[at : at + len(piece)] |= piece[: max(0, len(out) - at)]
-    return out
-
-
 def scan_secrets(
-    docs: DataFrame, ledger: BlobLedger, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", bits: int = BITMAP_BITS
+    docs: DataFrame, ledger: BlobLedger, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS
 ) -> DataFrame:
     """Scan what the ledger has not seen and return findings for every row.
 
@@ -146,13 +129,12 @@ def scan_secrets(
         held.join(ledger.read().select("sha", F.lit(True).alias("seen")).hint("merge"), "sha", "left").select("sha", "n", "seen", slot),
         "blobs",
     )
-    apart = docs.sparkSession.sparkContext.broadcast(_bitmap(state.where((F.col("n") > 1) | F.col("seen")), bits))
+    apart = docs.sparkSession.sparkContext.broadcast(bitmap_of(state.where((F.col("n") > 1) | F.col("seen")), bits))
 
     def rows_where(marked: bool):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                at = batch["slot"].to_numpy() - 1
-                hit = (apart.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                hit = has(apart.value, batch["slot"].to_numpy())
                 yield batch.filter(pa.array(hit == marked)).select(["sha", "text"])
 
         return keep
