@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessellar.llm.decontaminate import OP3_SQL, op3_benchmark_decontamination
 from tessellar.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from tessellar.llm.lm_score import op10_lm_score
 from tessellar.llm.minhash import OP6_SQL, op6_minhash_dedup
 from tessellar.llm.packing import op2_packing
 from tessellar.llm.secrets import op8_secret_scan
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_minhash_dedup": op6_minhash_dedup,
     "op8_secret_scan": op8_secret_scan,
     "op9_toxicity": op9_toxicity,
+    "op10_lm_score": op10_lm_score,
 }
 
 SQL = {
