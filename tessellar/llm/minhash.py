@@ -14,10 +14,10 @@
    thousands of near copies costs about a pair for each member, and no pair of different
    components goes untried.
 
-Collisions of pairs are counted on a longer sketch (512 coordinates, a byte of each),
+Collisions of pairs are counted on a longer sketch (1024 coordinates, a byte of each),
 made for the classes that are left. Two documents at the threshold of 0.75 collide on 48
-of 64 and 384 of 512 coordinates on average; they have fewer than 32 about once in
-200,000 such pairs, and fewer than 338 about once in 450,000.
+of 64 and 768 of 1024 coordinates on average; they have fewer than 32 about once in
+200,000 such pairs, and fewer than 704 about as rarely.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ from tessellar.llm.wordstream import U64, Words, binaries, mix64, run_hashes, ru
 from tessellar.llm.workspace import Workspace
 
 SHINGLE, COORDINATES, MATCHES = 5, 64, 32
-SKETCH, SKETCH_MATCHES = 512, 338
+SKETCH, SKETCH_MATCHES = 1024, 704
+#: The part of a sketch that is compared first, and the fewest collisions there.
+GLANCE, GLANCE_MATCHES = 256, 150
 #: Linked if PERCENT[0] * intersection >= PERCENT[1] * union.
 PERCENT = (100, 75)
 #: Bytes of text that are worked on at once, and classes of a list that are compared in one task.
@@ -114,7 +116,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """``cls, sketch, text`` of each class, found by one more pass over the documents."""
+    """``cls, sketch, text`` and the other columns of each class, found by one more pass over the documents."""
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(classes.select("slot")))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,13 +135,23 @@ def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     found = docs.select("text").mapInArrow(keep, "cls binary, sketch binary, text binary")
     one = found.groupBy("cls").agg(F.first("sketch").alias("sketch"), F.first("text").alias("text"))
-    return one.join(classes.select("cls").hint("merge"), "cls", "left_semi")
+    return one.join(classes.drop("slot").hint("merge"), "cls")
 
 
 def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SKETCH)
 
 
+def _posted(prefixes: pa.ChunkedArray) -> np.ndarray:
+    """The value each class is posted with, by coordinate; where it is not, a number of its own."""
+    lists = prefixes.to_pylist()
+    out = np.repeat(-1 - np.arange(len(lists)), COORDINATES).reshape(len(lists), COORDINATES)
+    for row, tokens in zip(out, lists, strict=True):
+        token = np.array(tokens, np.int64)
+        row[token >> 32] = token & 0xFFFFFFFF
+    return out
+
+
 def _count_collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         near = (_sketches(batch["sa"]) == _sketches(batch["sb"])).sum(1)
@@ -179,13 +191,11 @@ class _Linker:
             .groupBy("cls")
             .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("held"), F.sum("df").alias("weight"))
             .where((F.size("held") >= MATCHES) & (length > 0))
-            .select("cls", "weight", F.explode(F.slice("held", 1, length)).alias("p"))
-            .select("cls", "weight", "p.token")
+            .select("cls", "weight", F.slice("held", 1, length)["token"].alias("prefix"))
         )
-        self.postings = ws.write(chosen, "postings")
-        names = self.postings.select("cls").distinct()
-        candidates = ws.write(classes.select("cls", "slot").join(names.hint("merge"), "cls"), "candidates")
-        self.texts = ws.write(_texts_of(docs, candidates), "texts")
+        chosen = ws.write(chosen.join(classes.select("cls", "slot").hint("merge"), "cls"), "chosen")
+        self.postings = ws.write(chosen.select("cls", "weight", F.explode("prefix").alias("token")), "postings")
+        self.texts = ws.write(_texts_of(docs, chosen.select("cls", "slot", "prefix")), "texts")
         self.tried: DataFrame | None = None
         self.links: list[DataFrame] = []
 
@@ -241,11 +251,11 @@ class _Linker:
         blocks = F.ceil(F.col("n") / F.lit(LIST_BLOCK)).cast("int")
         rows = (
             held.join(mixed.select("token", "n").hint("merge"), "token")
-            .join(self.texts.select("cls", "sketch").hint("merge"), "cls")
-            .select("token", "cls", "root", "sketch", blocks.alias("k"))
+            .join(self.texts.select("cls", "sketch", "prefix").hint("merge"), "cls")
+            .select("token", "cls", "root", "sketch", "prefix", blocks.alias("k"))
             .withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("k")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-            .select("token", "cls", "root", "sketch", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+            .select("token", "cls", "root", "sketch", "prefix", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
         )
 
         def compare(table: pa.Table) -> pa.Table:
@@ -253,18 +263,23 @@ class _Linker:
             _, root = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)
             sketch, main = _sketches(table["sketch"]), np.bincount(root).argmax()
             left, right = mine == table["i"][0].as_py(), mine == table["j"][0].as_py()
-            found: set[tuple[bytes, bytes]] = set()
+            posted = _posted(table["prefix"])
+            here = table["token"][0].as_py() >> 32
+            found: list[tuple[bytes, bytes]] = []
             cut = False
             # pairs with the largest component are found from the other side
             for x in np.flatnonzero(root != main):
-                there = np.flatnonzero((root != root[x]) & ((right & left[x]) | (left & right[x])))
+                there = np.flatnonzero((root != root[x]) & ((right & left[x]) | (left & right[x])) & ((root == main) | (np.arange(len(cls)) > x)))
+                there = there[(sketch[there, :GLANCE] == sketch[x, :GLANCE]).sum(1) >= GLANCE_MATCHES]
                 near = (sketch[there] == sketch[x]).sum(1)
-                there, near = there[near >= SKETCH_MATCHES], near[near >= SKETCH_MATCHES]
+                # a pair belongs to the first list that both are in
+                ok = (near >= SKETCH_MATCHES) & ((posted[there] == posted[x]).argmax(1) == here)
+                there, near = there[ok], near[ok]
                 order = np.lexsort((-near, root[there]))
                 there = there[order]
                 place = np.arange(len(there)) - np.searchsorted(root[there], root[there])
                 cut |= bool((place >= most).any())
-                found |= {(min(cls[x], cls[y]), max(cls[x], cls[y])) for y in there[place < most]}
+                found += [(min(cls[x], cls[y]), max(cls[x], cls[y])) for y in there[place < most]]
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.Table.from_arrays(
                 [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([cut] * len(a), pa.bool_())], names=["a", "b", "cut"]
@@ -300,9 +315,11 @@ def near_duplicates(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text
         roots = None if links is None else ws.write(components(links, ws, f"forest{linker.round}"), f"roots{linker.round}")
         pairs, more = linker.across(roots, most)
         tried = linker.confirm(pairs)
-        if not tried and not more:
+        if not more:  # all pairs of different components were among these
             break
         most = most * 1000
+    if tried:
+        roots = ws.write(components(linker.all_links(), ws, "forest_last"), "roots_last") if linker.links else None
     named = classes.select("cls", "least")
     if roots is not None:
         rooted = named.join(roots.select(F.col("u").alias("cls"), "root").hint("merge"), "cls")
@@ -312,7 +329,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text
     else:
         named = named.select("cls", F.col("least").alias("component_id"))
     named = ws.write(named, "named")
-    ws.drop("shared", "postings", "candidates", "texts", "central", "classes")
+    ws.drop("shared", "postings", "chosen", "texts", "central", "classes")
     verdicts = signed.select("doc_id", "n_shingles", "cls").join(named.hint("merge"), "cls", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return verdicts.select(
