@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -118,10 +120,48 @@ def citations(text: Column) -> Column:
 
 
 def url_key(url: Column) -> Column:
-    """Key under which URLs are one page: lower-cased host and unquoted path without the last slash; no query, no fragment."""
-    host = F.lower(F.coalesce(F.parse_url(url, F.lit("HOST")), F.lit("")))
-    path = F.coalesce(F.try_url_decode(F.replace(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("")), F.lit("+"), F.lit("%2B"))), F.lit(""))
-    return F.concat(host, F.rtrim(path, F.lit("/")))
+    """Key under which URLs are one page: scheme, lower-cased host, unquoted path without last slashes; no query, no fragment."""
+    path = F.rtrim(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("")), F.lit("/"))
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.concat(
+        F.coalesce(F.parse_url(url, F.lit("PROTOCOL")), F.lit("")),
+        F.lit("://"),
+        F.lower(F.coalesce(F.parse_url(url, F.lit("AUTHORITY")), F.lit(""))),
+        F.when(plain == "", "/").otherwise(plain),
+    )
+
+
+#: White space of any kind and every dash that is set for a hyphen.
+PHRASE_GAP = r"[\s\-\x{2010}-\x{2015}]+"
+
+
+def phrase_pattern(term: str) -> str | None:
+    """Java regex for a term as a document may space it: words of the term, any gap between, word ends at word edges."""
+    words = [w for w in re.split(r"[\s\-\u2010-\u2015]+", term.strip()) if w] or ([term.strip()] if term.strip() else [])
+    if not words:
+        return None
+    edge = lambda c: r"\b" if c.isalnum() or c == "_" else ""
+    quoted = PHRASE_GAP.join(re.sub(r"([^\w\s])", r"\\\1", w) for w in words)
+    return f"{edge(words[0][0])}{quoted}{edge(words[-1][-1])}"
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """``[start, end)`` in code points of every match, as structs: pieces between the matches tell where they are."""
+    pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+    found = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), lambda m: F.length(m))
+    both = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda gap, own: F.struct(gap.alias("gap"), own.alias("own")))
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    return F.aggregate(
+        both,
+        F.struct(F.lit(0).alias("at"), empty.alias("out")),
+        lambda s, x: F.struct(
+            (s["at"] + x["gap"] + x["own"]).alias("at"),
+            F.concat(
+                s["out"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["own"]).alias("end")))
+            ).alias("out"),
+        ),
+        lambda s: s["out"],
+    )
 
 
 def confidence(score: Column, returned: Column) -> Column:
