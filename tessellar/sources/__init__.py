@@ -1,0 +1 @@
+"""From files to positioned, flagged chunks."""
