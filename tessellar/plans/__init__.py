@@ -1,7 +1,7 @@
 """Named queries over the test tables and the same in SQL, by area."""
 
-from tessellar.plans import evaluation, ingest, ledger, retrieval, text
+from tessellar.plans import evaluation, grounding, ingest, ledger, retrieval, text
 
-AREAS = (retrieval, text, ingest, ledger, evaluation)
+AREAS = (retrieval, text, ingest, ledger, evaluation, grounding)
 QUERIES = {name: query for area in AREAS for name, query in area.QUERIES.items()}
 SQL = {name: sql for area in AREAS for name, sql in area.SQL.items()}

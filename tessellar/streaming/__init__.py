@@ -1,0 +1 @@
+"""Streams: file ingestion without repeats, latency of the last samples, running ledger totals."""
