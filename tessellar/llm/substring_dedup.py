@@ -10,7 +10,7 @@ documents share a window, the later one's probe hits the earlier one's block.
    block somewhere and occurs in two documents; a bit for each run goes back. A chance
    equality here only makes more candidates.
 2. Extension. Each hot anchor is extended to the windows around it; only those windows,
-   by a 128-bit hash, are sent with the least and greatest document that has them, and
+   by a 96-bit hash, are sent with the least document that has them, and
    the least document of the whole corpus comes back.
 3. Removal. A window whose sequence begins in a document with a smaller id is removed;
    windows that follow one another add up to maximal repeats.
@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessellar.llm.exchange import BATCH_BYTES, Batches, answer, cut, found_in, grouped, joined
+from tessellar.llm.exchange import BATCH_BYTES, Batches, answer, cut, found_in, grouped, grouped_pairs, joined, range_of
 from tessellar.llm.wordstream import Words, binaries, cover, run_hashes, runs_inside
 from tessellar.llm.workspace import Workspace
 
@@ -79,16 +79,19 @@ def _anchors(parts: int, block: int) -> Callable[[pa.Table], pa.Table]:
     return send
 
 
+def _bits(packed: list[bytes], sizes: list[int]) -> np.ndarray:
+    """The bits of all blobs, one after the other."""
+    return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(packed, sizes, strict=True)]).astype(bool)
+
+
 def _hot(table: pa.Table) -> pa.Table:
     """Which runs of each blob are a block somewhere and occur in two documents."""
     lows, blocks, several = (table[c].to_pylist() for c in ("low", "block", "several"))
     sizes = [len(x) // 4 for x in lows]
-    bits = [np.unpackbits(np.frombuffer(b"".join([x]), np.uint8), count=n).astype(bool) for x, n in zip(blocks, sizes, strict=True)]
-    more = [np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for x, n in zip(several, sizes, strict=True)]
     order, begin = grouped(joined(lows, np.uint32))
     count = np.diff(np.append(begin, len(order)))
-    hot = np.logical_or.reduceat(np.concatenate(bits)[order], begin)
-    hot &= (count > 1) | np.logical_or.reduceat(np.concatenate(more)[order], begin)
+    hot = np.logical_or.reduceat(_bits(blocks, sizes)[order], begin)
+    hot &= (count > 1) | np.logical_or.reduceat(_bits(several, sizes)[order], begin)
     back = np.empty(len(order), bool)
     back[order] = np.repeat(hot, count)
     pieces = [np.packbits(x).tobytes() for x in np.split(back, np.cumsum(sizes)[:-1])]
@@ -99,29 +102,37 @@ def _windows(parts: int, window: int, block: int) -> Callable[[pa.Table, pa.Tabl
     def send(table: pa.Table, hot: pa.Table) -> pa.Table:
         batch = _Batch(table)
         key, at = batch.runs(block)
-        distinct = np.unique(key)
+        order, begin = grouped(key)
+        distinct = key[order][begin]
         # answers of all ranges, in their order, are bits for the distinct keys in theirs
         answers = sorted(zip(hot["part"].to_pylist(), hot["hot"].to_pylist(), strict=True))
-        bounds = np.searchsorted(((distinct >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
+        bounds = np.searchsorted(range_of(distinct, parts), np.arange(parts + 1, dtype=np.uint64))
         is_hot = np.zeros(len(distinct), bool)
         for part, bits in answers:
             a, b = bounds[part], bounds[part + 1]
             is_hot[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(b - a))
         anchored = np.zeros(len(batch.hash) + 1, np.int32)
-        anchored[at + 1] = found_in(key, distinct[is_hot])[0]
+        anchored[at[order] + 1] = np.repeat(is_hot, np.diff(np.append(begin, len(order))))
         anchored = np.cumsum(anchored)
         start = np.flatnonzero(runs_inside(batch.words.first, window))
         start = start[anchored[start + window - block + 1] > anchored[start]]
         one, two = (run_hashes(batch.hash, window, seed)[start] for seed in (0, 1))
-        order = np.lexsort((two, one))
-        one, two, doc = one[order], two[order], batch.doc[start][order]
-        new = np.ones(len(one), bool)
-        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
-        begin = np.flatnonzero(new)
+        two = two.astype(np.uint32)
+        order, begin = grouped_pairs(one, two)
+        doc = batch.doc[start][order]
         least, most = (f.reduceat(doc, begin) if len(begin) else doc for f in (np.minimum, np.maximum))
-        one, two = one[begin], two[begin]
-        columns = (("one", one), ("two", two), ("least", least), ("most", most))
-        return cut(one, parts, batch.number, [(n, lambda a, b, x=x: x[a:b].tobytes()) for n, x in columns])
+        one, two, several = one[order][begin], two[order][begin], least != most
+        return cut(
+            one,
+            parts,
+            batch.number,
+            [
+                ("one", lambda a, b: one[a:b].tobytes()),
+                ("two", lambda a, b: two[a:b].tobytes()),
+                ("least", lambda a, b: least[a:b].tobytes()),
+                ("several", lambda a, b: np.packbits(several[a:b]).tobytes()),
+            ],
+        )
 
     return send
 
@@ -129,16 +140,13 @@ def _windows(parts: int, window: int, block: int) -> Callable[[pa.Table, pa.Tabl
 def _least(table: pa.Table) -> pa.Table:
     """For each blob, the windows that some document of its batch is not the first to have, and the first."""
     ones = table["one"].to_pylist()
-    one, two = joined(ones, np.uint64), joined(table["two"].to_pylist(), np.uint64)
-    least, most = (joined(table[c].to_pylist(), np.int64) for c in ("least", "most"))
-    order = np.lexsort((two, one))
-    new = np.ones(len(order), bool)
-    a, b = one[order], two[order]
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    begin = np.flatnonzero(new)
+    one, two = joined(ones, np.uint64), joined(table["two"].to_pylist(), np.uint32)
+    least = joined(table["least"].to_pylist(), np.int64)
+    several = _bits(table["several"].to_pylist(), [len(x) // 8 for x in ones])
+    order, begin = grouped_pairs(one, two)
     first = np.empty(len(order), np.int64)
     first[order] = np.repeat(np.minimum.reduceat(least[order], begin), np.diff(np.append(begin, len(order))))
-    told = first < most
+    told = several | (first < least)
     ends = np.cumsum([len(x) // 8 for x in ones])
     rows = []
     for batch, lo, hi in zip(table["batch"].to_pylist(), np.append(0, ends[:-1]), ends, strict=True):
@@ -155,14 +163,14 @@ def _least(table: pa.Table) -> pa.Table:
 def _removal(window: int, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def remove(table: pa.Table, told: pa.Table) -> pa.Table:
         batch = _Batch(table)
-        one, two, first = (joined(told[c].to_pylist(), k) for c, k in (("one", np.uint64), ("two", np.uint64), ("first", np.int64)))
-        order = np.argsort(one, kind="stable")
+        one, two, first = (joined(told[c].to_pylist(), k) for c, k in (("one", np.uint64), ("two", np.uint32), ("first", np.int64)))
+        order = np.argsort(one)
         one, two, first = one[order], two[order], first[order]
         start = np.flatnonzero(runs_inside(batch.words.first, window))
         key = run_hashes(batch.hash, window, 0)[start]
         hit, at = found_in(key, one)
         start, key, at = start[hit], key[hit], at[hit]
-        same, gone, open_ = run_hashes(batch.hash, window, 1)[start], np.zeros(len(start), bool), np.arange(len(start))
+        same, gone, open_ = run_hashes(batch.hash, window, 1)[start].astype(np.uint32), np.zeros(len(start), bool), np.arange(len(start))
         while len(open_):  # again only where windows differ but share their first 64 bits
             place = at[open_]
             gone[open_] |= (two[place] == same[open_]) & (first[place] < batch.doc[start[open_]])
@@ -221,7 +229,7 @@ def substring_dedup(
     runs = batches.ask(_anchors(batches.n, block), "part long, batch long, low binary, block binary, several binary")
     hot = answer(runs, _hot, "batch long, part long, hot binary")
     windows = batches.ask(
-        _windows(batches.n, window, block), "part long, batch long, one binary, two binary, least binary, most binary", ws.write(hot, "hot")
+        _windows(batches.n, window, block), "part long, batch long, one binary, two binary, least binary, several binary", ws.write(hot, "hot")
     )
     told = ws.write(answer(windows, _least, "batch long, one binary, two binary, first binary"), "told")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
