@@ -1,14 +1,15 @@
 """Toxicity by subword-bag embeddings (operator 9).
 
 A word is the average of the vectors of its character 3- to 6-grams (ends marked,
-hashed into a fixed number of buckets); a window of a few words is the average of its
+hashed into a fixed number of buckets); a text is the average of its worst few distinct
 words; a linear softmax turns that into two classes. Vectors and softmax are trained
 jointly, in numpy, on a bounded sample of labelled documents. Misspellings and new
 endings share most of their n-grams with words that were seen.
 
-A document is as toxic as its most toxic window, so a few words in a long text still
-count. Training begins with whole documents as one window and goes on with the window
-that the model finds worst in each document.
+Because the worst words stand for the text, a few words in a long text still count, and
+a word that clean texts have once in a while counts less than several of its kind.
+Training begins with the average of all words and goes on with those that the model
+finds worst in each document.
 
 As all of it is averages of linear maps, a trained model is one number for each bucket;
 scoring a text is a lookup for each n-gram, in a map over the input with no shuffle.
@@ -27,9 +28,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessellar.llm.wordstream import runs_inside, slices
+from tessellar.llm.wordstream import slices
 
-GRAMS, BUCKET_BITS, DIMENSIONS, WINDOW = (3, 4, 5, 6), 17, 10, 8
+#: Sizes of n-grams, hash buckets, dimensions of vectors, and how many distinct words stand for a text.
+GRAMS, BUCKET_BITS, DIMENSIONS, WORST = (3, 4, 5, 6), 17, 10, 8
 #: The sample that is trained on: documents of each label, and their longest text in characters.
 MOST_TOXIC, MOST_CLEAN, LONGEST = 1500, 3000, 100_000
 WARM_UP, EPOCHS, RATE = 12, 48, 0.4
@@ -82,42 +84,23 @@ class _Subwords:
         return total / np.maximum(self.grams(), 1)
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of word and bucket, by word."""
+        """All pairs of word and bucket."""
         word, found, hashed = [], [], None
         for n in GRAMS:
             bucket, hashed = self.buckets(n, hashed)
             count = np.maximum(self.end - self.start + 3 - n, 0)
-            which = np.repeat(np.arange(len(count)), count)
-            place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + self.start[which] - 1
+            which = np.repeat(np.arange(len(count), dtype=np.int32), count)
+            place = np.arange(len(which)) - np.repeat(np.cumsum(count) - count - self.start + 1, count)
             word.append(which)
-            found.append(bucket[place])
-        order = np.argsort(np.concatenate(word), kind="stable")
-        return np.concatenate(word)[order], np.concatenate(found)[order]
-
-
-def _worst(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each text the mean of its worst window, and the window's first word and length."""
-    size = np.diff(first)
-    sums = np.concatenate([[0.0], np.cumsum(words)])
-    mean, at, length = np.zeros(len(size)), first[:-1].copy(), np.minimum(size, window)
-    short = (size > 0) & (size <= window)
-    mean[short] = (sums[first[1:]] - sums[first[:-1]])[short] / size[short]
-    long = np.flatnonzero(size > window)
-    if len(long):
-        run = (sums[window:] - sums[:-window]) / window
-        run[~runs_inside(first, window)] = -np.inf
-        run = np.append(run, -np.inf)
-        ends = first[long + 1] - window + 1
-        best = np.maximum.reduceat(run, np.stack([first[long], ends], 1).ravel())[::2]
-        mean[long] = best
-        # the first place that has the best value
-        owner = np.searchsorted(first[long], np.arange(len(run)), "right") - 1
-        ok = (owner >= 0) & (run == best[np.maximum(owner, 0)])
-        places = np.flatnonzero(ok)
-        places = places[places < ends[owner[places]]]
-        who, index = np.unique(owner[places], return_index=True)
-        at[long[who]] = places[index]
-    return mean, at, length
+            found.append(bucket[place].astype(np.int32))
+        return np.concatenate(word), np.concatenate(found)
+
+
+def _worst_mean(words: np.ndarray, worst: int) -> float:
+    """The mean of the greatest few distinct scores; equal words have equal scores."""
+    ordered = np.sort(words)
+    ordered = ordered[np.append(ordered[1:] != ordered[:-1], True)]
+    return float(ordered[-worst:].mean()) if len(ordered) else 0.0
 
 
 @dataclass
@@ -126,7 +109,7 @@ class Toxicity:
 
     weight: np.ndarray
     bias: float
-    window: int = WINDOW
+    worst: int = WORST
 
     def score(self, texts: list[str]) -> np.ndarray:
         """From 0 to 1 for each text, the whole of it."""
@@ -134,24 +117,30 @@ class Toxicity:
         lowered = [t.lower() for t in texts]
         for lo, hi in slices(lowered, STEP_BYTES):
             subwords = _Subwords(lowered[lo:hi])
-            worst, _, _ = _worst(subwords.scores(self.weight), subwords.first, self.window)
+            words, first = subwords.scores(self.weight), subwords.first
+            worst = np.array([_worst_mean(words[a:b], self.worst) for a, b in zip(first, first[1:], strict=False)])
             out[lo:hi] = 1 / (1 + np.exp(-np.clip(worst + self.bias, -40, 40)))
         return np.round(out, 9)
 
 
 def train(texts: list[str], toxic: np.ndarray, importance: np.ndarray, seed: int = 3) -> Toxicity:
-    """Fit vectors and softmax jointly. ``importance``: how many documents each one stands for."""
+    """Fit vectors and softmax jointly. ``importance``: the weight of each document."""
     if not len(texts) or toxic.min() == toxic.max():
         share = float(np.average(toxic, weights=importance)) if len(texts) else 0.0
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Toxicity(np.zeros(1 << BUCKET_BITS, np.float32), float(np.log(share / (1 - share))))
     number: dict[str, int] = {}
-    tokens = [np.array([number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())], np.int64) for t in texts]
-    first = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
-    token = np.concatenate([*tokens, np.empty(0, np.int64)])
-    size = np.maximum(np.diff(first), 1)
+    tokens = [
+        np.unique(np.fromiter((number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())), np.int32)) for t in texts
+    ]
+    size = np.array([len(t) for t in tokens], np.int64)
+    first = np.concatenate([[0], np.cumsum(size)])
+    token = np.concatenate(tokens)
+    del tokens
     word, bucket = _Subwords([" ".join(number)]).features()
-    per_word = np.bincount(word, minlength=len(number)).astype(np.float64)
+    n_words = len(number)
+    del number
+    per_word = np.bincount(word, minlength=n_words).astype(np.float64)
 
     rng = np.random.Generator(np.random.PCG64(seed))
     vectors = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS))
@@ -159,22 +148,24 @@ def train(texts: list[str], toxic: np.ndarray, importance: np.ndarray, seed: int
     bias = np.zeros(2)
     importance = importance / importance.sum()
     seen = [np.full_like(p, 1e-8) for p in (vectors, softmax, bias)]
+    balanced = np.where(toxic > 0, 0.5 / (toxic > 0).sum(), 0.5 / (toxic == 0).sum())
     for epoch in range(WARM_UP + EPOCHS):
         direction = softmax[:, 1] - softmax[:, 0]
-        of_word = np.bincount(word, (vectors @ direction)[bucket], len(number)) / per_word
-        of_token = of_word[token]
+        of_word = np.bincount(word, (vectors @ direction)[bucket], n_words) / per_word
         if epoch < WARM_UP:
-            sums = np.concatenate([[0.0], np.cumsum(of_token)])
-            mean, at, length = (sums[first[1:]] - sums[first[:-1]]) / size, first[:-1], np.diff(first)
+            # while all words stand for a document the classes count the same, so that rare words come up
+            place, length, share = np.arange(len(token)), size, balanced
         else:
-            mean, at, length = _worst(of_token, first, WINDOW)
+            picks = []
+            for a, b in zip(first, first[1:], strict=False):
+                own = of_word[token[a:b]]
+                picks.append(a + (np.argpartition(own, b - a - WORST)[b - a - WORST :] if b - a > WORST else np.arange(b - a)))
+            place, length, share = np.concatenate(picks), np.minimum(size, WORST), importance
+        who = np.repeat(np.arange(len(texts)), length)
+        mean = np.bincount(who, of_word[token[place]], len(texts)) / np.maximum(length, 1)
         p = 1 / (1 + np.exp(-np.clip(mean + bias[1] - bias[0], -40, 40)))
-        # while whole documents are one window the classes count the same, so that rare words come up
-        share = importance if epoch >= WARM_UP else np.where(toxic > 0, 0.5 / (toxic > 0).sum(), 0.5 / (toxic == 0).sum())
         slope = share * (p - toxic)
-        who = np.repeat(np.arange(len(texts)), length)
-        place = np.arange(len(who)) - np.repeat(np.cumsum(length) - length, length) + at[who]
-        by_word = np.bincount(token[place], (slope / np.maximum(length, 1))[who], len(number)) / per_word
+        by_word = np.bincount(token[place], (slope / np.maximum(length, 1))[who], n_words) / per_word
         by_bucket = np.bincount(bucket, by_word[word], 1 << BUCKET_BITS)
         ahead = by_bucket @ vectors
         steps = (by_bucket[:, None] * direction, np.stack([-ahead, ahead], 1), np.array([-slope.sum(), slope.sum()]))
@@ -193,8 +184,8 @@ def train_on(docs: DataFrame, labels: DataFrame, held_out: int = 5, most_toxic:
     """Train on a sample of the labelled documents outside the held-out fold.
 
     The sample is the rows of each label with the least hashes of their ids, at most
-    ``most_toxic`` and ``most_clean``, of texts up to ``LONGEST`` characters; each counts
-    for the root of how many of its label it stands for. Rows without id or label are not used; a document that
+    ``most_toxic`` and ``most_clean``, of texts up to ``LONGEST`` characters; the labels
+    weigh as the roots of how many documents have them. Rows without id or label are not used; a document that
     any row calls toxic is toxic; of repeated documents one is used.
     """
     usable = (
@@ -221,7 +212,7 @@ def train_on(docs: DataFrame, labels: DataFrame, held_out: int = 5, most_toxic:
     toxic = np.array([r.label for r in sample], np.float64)
     mine = {label: max(1, int((toxic == label).sum())) for label in (0, 1)}
     # half way (in logits) between the classes as they are and as many of each: a miss costs more than a false alarm
-    importance = np.sqrt(np.array([counts[r.label] / mine[r.label] for r in sample], np.float64))
+    importance = np.array([counts[r.label] ** 0.5 / mine[r.label] for r in sample], np.float64)
     return train([r.text for r in sample], toxic, importance)
 
 
