@@ -28,12 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessellar.llm.wordstream import slices
+from tessellar.llm.wordstream import parts_of, slices
 
 #: Sizes of n-grams, hash buckets, dimensions of vectors, and how many distinct words stand for a text.
 GRAMS, BUCKET_BITS, DIMENSIONS, WORST = (3, 4, 5, 6), 17, 10, 8
 #: The sample that is trained on: documents of each label, and their longest text in characters.
-MOST_TOXIC, MOST_CLEAN, LONGEST = 1500, 3000, 100_000
+MOST_TOXIC, MOST_CLEAN, LONGEST = 1000, 2000, 100_000
 WARM_UP, EPOCHS, RATE = 12, 48, 0.4
 #: Bytes of text that are scored at once.
 STEP_BYTES = 1 << 20
@@ -114,9 +114,8 @@ class Toxicity:
     def score(self, texts: list[str]) -> np.ndarray:
         """From 0 to 1 for each text, the whole of it."""
         out = np.empty(len(texts))
-        lowered = [t.lower() for t in texts]
-        for lo, hi in slices(lowered, STEP_BYTES):
-            subwords = _Subwords(lowered[lo:hi])
+        for lo, hi in slices(texts, STEP_BYTES):
+            subwords = _Subwords([t.lower() for t in texts[lo:hi]])
             words, first = subwords.scores(self.weight), subwords.first
             worst = np.array([_worst_mean(words[a:b], self.worst) for a, b in zip(first, first[1:], strict=False)])
             out[lo:hi] = 1 / (1 + np.exp(-np.clip(worst + self.bias, -40, 40)))
@@ -227,8 +226,10 @@ def with_scores(docs: DataFrame, model: Toxicity, text_col: str = "text") -> Dat
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(shared.value.score(texts), pa.float64())], names=["row", "score"])
+            # a few megabytes of texts at a time are Python strings
+            parts = [shared.value.score([t or "" for t in some.to_pylist()]) for some in parts_of(batch["text"], 4 * STEP_BYTES)]
+            scores = np.concatenate([np.empty(0), *parts])
+            yield pa.RecordBatch.from_arrays([batch["row"], pa.array(scores, pa.float64())], names=["row", "score"])
 
     state = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     return state.mapInArrow(score, T.StructType([state.schema["row"], T.StructField("score", T.DoubleType())]))

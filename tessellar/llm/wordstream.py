@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of a buffer that are hashed at once; bounds the 8-byte temporaries.
@@ -164,3 +165,15 @@ def slices(texts: Sequence[bytes], most: int) -> Iterator[tuple[int, int]]:
         size += len(t)
     if lo < len(texts):
         yield lo, len(texts)
+
+
+def parts_of(column: pa.Array, most: int) -> Iterator[pa.Array]:
+    """The column in consecutive parts of at most ``most`` bytes of text (a longer text is a part of its own)."""
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(size)
+    lo = 0
+    while lo < len(column):
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield column.slice(lo, hi - lo)
+        lo = hi
