@@ -98,9 +98,10 @@ class _Subwords:
 
 def _worst_mean(words: np.ndarray, worst: int) -> float:
     """The mean of the greatest few distinct scores; equal words have equal scores."""
+    if not len(words):
+        return 0.0
     ordered = np.sort(words)
-    ordered = ordered[np.append(ordered[1:] != ordered[:-1], True)]
-    return float(ordered[-worst:].mean()) if len(ordered) else 0.0
+    return float(ordered[np.append(ordered[1:] != ordered[:-1], True)][-worst:].mean())
 
 
 @dataclass
