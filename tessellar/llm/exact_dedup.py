@@ -112,6 +112,7 @@ def exact_dedup(
         groups.select("digest", "group_size").join(index.read().hint("merge"), "digest"),
         "resolved",
     )
+    ws.keep_only("digests", "resolved")
     return staged.join(resolved.hint("merge"), "digest").select(
         "doc_id",
         "keep_id",

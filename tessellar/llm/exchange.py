@@ -50,9 +50,6 @@ class Batches:
             return groups.applyInArrow(question, schema)
         return groups.cogroup(answers.groupBy("batch")).applyInArrow(question, schema)
 
-    def close(self) -> None:
-        self.ws.drop("batches")
-
 
 def answer(blobs: DataFrame, reply: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """Run ``reply`` on all blobs of each range."""

@@ -99,7 +99,9 @@ def line_dedup(
     gone = F.coalesce(
         F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.lit(least - 1))))), F.array().cast("array<int>")
     )
-    joined = texts.join(ws.write(later, "later").hint("merge"), "row", "left").select("doc_id", "lines", gone.alias("gone"))
+    later = ws.write(later, "later")
+    ws.keep_only("texts", "later")
+    joined = texts.join(later.hint("merge"), "row", "left").select("doc_id", "lines", gone.alias("gone"))
     kept = F.when(F.size("gone") == 0, F.col("lines")).otherwise(
         F.transform(
             F.array_except(F.sequence(F.lit(0), F.greatest(F.size("lines") - 1, F.lit(0))), F.col("gone")),

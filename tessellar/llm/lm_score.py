@@ -388,8 +388,7 @@ def lm_scores(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col:
     tokens, distinct = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
     answers = told.select("batch", "part", F.col("counts").alias("word_counts")).unionByName(priced, allowMissingColumns=True)
     result = ws.write(batches.ask(_score(symbol, tokens, distinct, ends), SCORES, answers), "result")
-    batches.close()
-    ws.drop("told", "priced")
+    ws.keep_only("result")
     return result
 
 

@@ -329,7 +329,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text
     else:
         named = named.select("cls", F.col("least").alias("component_id"))
     named = ws.write(named, "named")
-    ws.drop("shared", "postings", "chosen", "texts", "central", "classes")
+    ws.keep_only("signed", "named")
     verdicts = signed.select("doc_id", "n_shingles", "cls").join(named.hint("merge"), "cls", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return verdicts.select(

@@ -145,6 +145,7 @@ def scan_secrets(
     shared = texts.mapInArrow(rows_where(True), "sha string, text string").groupBy("sha").agg(F.first("text").alias("text"))
     unseen = state.where(F.col("seen").isNull()).select("sha")
     ledger.append(shared.join(unseen.hint("merge"), "sha", "left_semi").mapInArrow(_scan_batches, FINDINGS))
+    ws.keep_only("paths")
     return (
         paths.hint("merge")
         .join(ledger.read(), "sha")

@@ -234,8 +234,7 @@ def substring_dedup(
     told = ws.write(answer(windows, _least, "batch long, one binary, two binary, first binary"), "told")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     result = ws.write(batches.ask(_removal(window, with_text), schema, told), "result")
-    batches.close()
-    ws.drop("hot", "told")
+    ws.keep_only("result")
     return result
 
 

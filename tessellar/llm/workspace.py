@@ -33,18 +33,21 @@ class Workspace:
         self.id = f"{name}_{uuid.uuid4().hex[:12]}"
         self.root = f"{shared_root(spark)}/tessellar/{self.id}"
         self._tables: dict[str, str] = {}
+        self._written: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as ``name`` and read it back without any knowledge of its partitioning."""
+        self._written.add(name)
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def write_bucketed(self, df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
         """Write ``df`` in ``buckets`` files hashed and sorted by ``key``; later grouping by it needs no shuffle."""
         table = f"tessellar_{self.id}_{name}"
+        self._written.add(name)
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         (
             df.repartition(buckets, key)
@@ -62,7 +65,12 @@ class Workspace:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
+            self._written.discard(name)
             if name in self._tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(name)}")
             path = jvm.org.apache.hadoop.fs.Path(self.path(name))
             path.getFileSystem(conf).delete(path, True)
+
+    def keep_only(self, *names: str) -> None:
+        """Delete all tables but those that the result reads."""
+        self.drop(*(self._written - set(names)))
