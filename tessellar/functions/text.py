@@ -38,21 +38,21 @@ def tokens(text: Column) -> Column:
 
     Identifiers of one letter are left out; so are parts of one letter or equal to their identifier.
     """
-    names = F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1)
-    words = F.filter(F.transform(names, lambda w: F.lower(w)), lambda w: F.length(w) > 1)
-    parts = F.flatten(
-        F.transform(
-            names,
-            lambda w: F.filter(
-                F.transform(
-                    F.regexp_extract_all(w, F.lit(r"([A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+)"), 1), lambda p: F.lower(p)
-                ),
-                lambda p: (F.length(p) > 1) & (p != F.lower(w)),
-            ),
-        )
-    )
+    found = F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1)
+
+    def parts(w: Column) -> Column:
+        pieces = F.regexp_extract_all(w, F.lit(r"([A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+)"), 1)
+        return F.filter(F.transform(pieces, lambda p: F.lower(p)), lambda p: (F.length(p) > 1) & (p != F.lower(w)))
+
+    def named(names: Column) -> Column:
+        words = F.filter(F.transform(names, lambda w: F.lower(w)), lambda w: F.length(w) > 1)
+        # only a name with an underscore, or a capital after its first letter, has parts of its own
+        made = F.filter(names, lambda w: w.rlike("_|.[A-Z]"))
+        return F.concat(words, F.flatten(F.transform(made, parts)))
+
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"([0-9]+(?:[.,][0-9]+)+|[0-9]+)"), 1), lambda n: F.replace(n, F.lit(","), F.lit("")))
-    return F.concat(words, parts, numbers)
+    # through a lambda, so that the names are found once
+    return F.concat(F.flatten(F.transform(F.array(found), named)), numbers)
 
 
 def content_terms(text: Column) -> Column:

@@ -25,18 +25,22 @@ class LexicalIndex:
 
 
 def build_index(chunks: DataFrame) -> LexicalIndex:
-    """Index ``chunks(session_id, chunk_id, text)``; idf and average length are those of the session."""
-    split = chunks.select("session_id", "chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    """Index ``chunks(session_id, chunk_id, text)``; idf and average length are those of the session.
+
+    Texts are tokenised once: lengths and document frequencies are sums over the same
+    postings, whose exchange is reused (all of them read ``tf``, so it is the same plan).
+    """
     postings = (
-        split.select("session_id", "chunk_id", F.explode("tokens").alias("term"))
+        chunks.select("session_id", "chunk_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term"))
         .groupBy("session_id", "chunk_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    sized = split.select("session_id", "chunk_id", F.size("tokens").alias("dl"))
-    sums = sized.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    sized = postings.groupBy("session_id", "chunk_id").agg(F.sum("tf").alias("dl"))
+    held = chunks.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    sums = held.join(sized.groupBy("session_id").agg(F.sum("dl").alias("all")), "session_id").select("session_id", "n", (F.col("all") / F.col("n")).alias("avgdl"))
     terms = (
         postings.groupBy("session_id", "term")
-        .agg(F.count(F.lit(1)).alias("df"))
+        .agg(F.count("tf").alias("df"))
         .join(sums, "session_id")
         .select("session_id", "term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     )
