@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,18 +24,37 @@ class LexicalIndex:
     lengths: DataFrame
     terms: DataFrame
 
+    def release(self) -> None:
+        self.postings.unpersist()
+
+
+def _postings(chunks: DataFrame) -> DataFrame:
+    """Term counts of each chunk, by the rules of ``tokens``, without lambda functions.
+
+    Plain expressions are compiled, where lambda functions are interpreted.
+    """
+    text = F.coalesce("text", F.lit(""))
+    found = F.concat(
+        F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1), F.regexp_extract_all(text, F.lit(r"([0-9]+(?:[.,][0-9]+)+|[0-9]+)"), 1)
+    )
+    names = chunks.select("session_id", "chunk_id", F.explode(found).alias("name"))
+    number = F.col("name").rlike("^[0-9]")
+    whole = F.when(number, F.replace("name", F.lit(","), F.lit(""))).otherwise(F.lower("name"))
+    pieces = F.regexp_extract_all("name", F.lit(r"([A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+)"), 1)
+    parts = F.when(~number & F.col("name").rlike("_|.[A-Z]"), F.split(F.lower(F.array_join(pieces, " ")), " ")).otherwise(F.array().cast("array<string>"))
+    terms = names.select("session_id", "chunk_id", number.alias("number"), whole.alias("whole"), F.posexplode(F.concat(F.array(whole), parts)).alias("k", "term"))
+    kept = (F.col("number") & (F.col("k") == 0)) | ((F.length("term") > 1) & ((F.col("k") == 0) | (F.col("term") != F.col("whole"))))
+    return terms.where(kept).groupBy("session_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
 
 def build_index(chunks: DataFrame) -> LexicalIndex:
     """Index ``chunks(session_id, chunk_id, text)``; idf and average length are those of the session.
 
-    Texts are tokenised once: lengths and document frequencies are sums over the same
-    postings, whose exchange is reused (all of them read ``tf``, so it is the same plan).
+    Texts are tokenised once: the postings are kept (in memory, then on the executors'
+    disks; a lost block is made again) for lengths, document frequencies and searches,
+    until ``release``.
     """
-    postings = (
-        chunks.select("session_id", "chunk_id", F.explode(tokens(F.coalesce("text", F.lit("")))).alias("term"))
-        .groupBy("session_id", "chunk_id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    postings = _postings(chunks).persist(StorageLevel.MEMORY_AND_DISK)
     sized = postings.groupBy("session_id", "chunk_id").agg(F.sum("tf").alias("dl"))
     held = chunks.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
     sums = held.join(sized.groupBy("session_id").agg(F.sum("dl").alias("all")), "session_id").select("session_id", "n", (F.col("all") / F.col("n")).alias("avgdl"))
