@@ -3,18 +3,18 @@
 The model predicts each byte of the lower-cased text from the five before it. A symbol
 that a context has not seen is reached by an escape (method C) to the next shorter
 context, where the symbols already ruled out are excluded, and at last by equal shares.
-The 62 most frequent bytes are symbols of their own; other bytes share one and then have
-equal shares, and a text's edges are a symbol.
+Every byte that a lower-cased text can hold is a symbol of its own, in whatever script, and a
+text's edges are a symbol.
 
 The trie of byte contexts, counted over all training documents, is kept in two parts.
-Orders 0 to 3 are one table of at most 64^4 cells however large the corpus is: the only
+Orders 0 to 2 are one table of at most 231^3 cells however large the corpus is: the only
 thing that is broadcast, with a bound. Above that, the trie is spread by the last three
 symbols of a context, so that everything below such a node meets in one task: batches
 ask for the distinct predictions in their texts and get back what each one costs. Counts
 of words for the base score are asked for in the same way. Nothing that grows with the
 corpus is gathered in one place.
 
-Passes over the batches: words; bytes; cells; predictions; scores.
+Passes over the batches: words; cells; predictions; scores.
 """
 
 from __future__ import annotations
@@ -33,11 +33,13 @@ from tessellar.llm.wordstream import LOWER_AZ, SPACED, Words, binaries, mix64, s
 from tessellar.llm.workspace import Workspace
 
 FOLDS, HELD_OUT_FOLD = 7, 2
-SYMBOLS, DENSE_ORDER, ORDER = 64, 3, 5
-EDGE, RARE = 0, SYMBOLS - 1
+#: The edge and all bytes but the 26 capital letters, which lower-casing leaves none of.
+SYMBOLS, DENSE_ORDER, SPREAD_ORDER, ORDER = 231, 2, 3, 5
+#: The edge, and what stands for a capital letter: outside the alphabet, in no text.
+EDGE, RARE = 0, 255
 #: Bytes of text whose predictions are worked on at once.
 STEP_BYTES = 2 << 20
-_DIGIT = np.uint64(6)
+_DIGIT = np.uint64(8)
 
 
 def fold_of(doc_id: int | None) -> int:
@@ -96,24 +98,10 @@ def _count_words(table: pa.Table) -> pa.Table:
     )
 
 
-def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of training documents: how often each byte occurs, and at -1 how many documents there are."""
-    total, docs = np.zeros(256, np.int64), 0
-    for batch in batches:
-        for text, use in zip(binaries(batch["text"]), _in_training(batch), strict=True):
-            if use:
-                docs += 1
-                total += np.bincount(np.frombuffer(text.translate(LOWER_AZ), np.uint8), minlength=256)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(-1, 256), pa.int32()), pa.array(np.append(docs, total), pa.int64())], names=["byte", "n"]
-    )
-
-
-def alphabet(counts: np.ndarray) -> np.ndarray:
-    """The symbol of each byte: the most frequent ones have their own, in order of bytes."""
-    ranked = np.argsort(-counts, kind="stable")[: SYMBOLS - 2]
-    own = np.sort(ranked[counts[ranked] > 0])
+def alphabet(counts: np.ndarray | None = None) -> np.ndarray:
+    """The symbol of each byte, in order of bytes; the same for every corpus, so ``counts`` are not read."""
     symbol = np.full(256, RARE, np.uint32)
+    own = np.unique(np.frombuffer(LOWER_AZ, np.uint8))
     symbol[own] = np.arange(1, len(own) + 1)
     return symbol
 
@@ -135,7 +123,7 @@ def _coded(texts: list[bytes], symbol: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _cells(coded: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The cell of each prediction in the table of orders 0 to 3."""
+    """The cell of each prediction in the table of orders 0 to 2."""
     cell = np.zeros(len(coded) - DENSE_ORDER, np.uint32)
     for j in range(DENSE_ORDER + 1):
         cell = cell * np.uint32(SYMBOLS) + coded[j : len(coded) - DENSE_ORDER + j]
@@ -143,15 +131,15 @@ def _cells(coded: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def _predictions(coded: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """A key for each prediction: 28 bits of hash of the last three symbols, then the context
-    backwards and the symbol, 6 bits each. Sorted keys have each context's together, at every order."""
+    """A key for each prediction: 16 bits of hash of the last three symbols, then the context
+    backwards and the symbol, 8 bits each. Sorted keys have each context's together, at every order."""
     n = len(coded) - ORDER
     key = np.zeros(n, np.uint64)
     for j in range(1, ORDER + 1):
         key = (key << _DIGIT) | coded[ORDER - j : ORDER - j + n]
-    near = key >> np.uint64(6 * (ORDER - DENSE_ORDER))
+    near = key >> np.uint64(8 * (ORDER - SPREAD_ORDER))
     key = (key << _DIGIT) | coded[ORDER:]
-    return ((mix64(near) >> np.uint64(36)) << np.uint64(36) | key)[place - ORDER]
+    return ((mix64(near) >> np.uint64(48)) << np.uint64(48) | key)[place - ORDER]
 
 
 def _count_cells(symbol: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -208,16 +196,16 @@ def _escape(total: np.ndarray, distinct: np.ndarray) -> np.ndarray:
     return np.where(total > 0, distinct / np.maximum(total + distinct, 1), 1.0)
 
 
-def costs(key: np.ndarray, n: np.ndarray, shares: np.ndarray) -> np.ndarray:
+def costs(key: np.ndarray, n: np.ndarray, model: PartialMatching) -> np.ndarray:
     """log10 of the probability of each prediction.
 
     ``key``: sorted and distinct, all that begin with their last three symbols; ``n``: how
-    often each occurs in training; ``shares``: the table of orders 0 to 3.
+    often each occurs in training; ``model``: the table of orders 0 to 2.
     """
-    sym = key & np.uint64(SYMBOLS - 1)
+    sym = key & np.uint64(255)
     n = n.astype(np.float64)
     # contexts of 5, 4 and 3 symbols (5 first); for each, its counts, and its predictions' counts
-    context = [key >> np.uint64(6 * (1 + drop)) for drop in range(ORDER - DENSE_ORDER + 1)]
+    context = [key >> np.uint64(8 * (1 + drop)) for drop in range(ORDER - SPREAD_ORDER + 1)]
     count, total, distinct = [n], [], []
     for drop, c in enumerate(context):
         if drop:
@@ -234,6 +222,16 @@ def costs(key: np.ndarray, n: np.ndarray, shares: np.ndarray) -> np.ndarray:
         begin, which = _groups(c)
         total.append(np.add.reduceat(n, begin)[which])
         distinct.append(np.add.reduceat((once & (count[drop] > 0)).astype(np.float64), begin)[which])
+    # the context of two symbols has its counts in the table
+    near = context[-1]
+    two = [((near >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64) for k in range(SPREAD_ORDER - DENSE_ORDER, SPREAD_ORDER)]
+    node = two[0] * SYMBOLS + two[1]
+    cell = node * SYMBOLS + sym.astype(np.int64)
+    counts, totals, kinds, shares = model.table()
+    context.append(near >> _DIGIT)
+    count.append(counts[cell].astype(np.float64))
+    total.append(totals[node])
+    distinct.append(kinds[node])
     left, cost, open_ = np.ones(len(key)), np.zeros(len(key)), np.ones(len(key), bool)
     for drop, c in enumerate(context):
         t, d = total[drop], distinct[drop]
@@ -251,12 +249,7 @@ def costs(key: np.ndarray, n: np.ndarray, shares: np.ndarray) -> np.ndarray:
         cost[found] = np.log10(left[found] * count[drop][found] / (t + d)[found])
         open_ &= ~found
         left = left * _escape(t, d)
-    # the table's share of an unseen symbol holds the escape from the whole context of three
-    near = context[-1]
-    three = [(near >> np.uint64(6 * k)) & np.uint64(SYMBOLS - 1) for k in range(DENSE_ORDER)]
-    cell = np.zeros(len(key), np.uint64)
-    for digit in (*three, sym):
-        cell = cell * np.uint64(SYMBOLS) + digit
+    # the table's share of an unseen symbol holds the escape from the whole context of two
     cost[open_] = np.log10(left[open_] / _escape(total[-1], distinct[-1])[open_]) + shares[cell[open_]]
     return cost.astype(np.float32)
 
@@ -266,7 +259,7 @@ def _answer_predictions(model) -> Callable[[pa.Table], pa.Table]:
         keys = table["keys"].to_pylist()
         key, mine = joined(keys, np.uint64), joined(table["counts"].to_pylist(), np.uint32)
         order, begin = grouped(key)
-        cost = costs(key[order][begin], np.add.reduceat(mine[order].astype(np.int64), begin), model.value.table())
+        cost = costs(key[order][begin], np.add.reduceat(mine[order].astype(np.int64), begin), model.value)
         back = np.empty(len(key), np.float32)
         back[order] = np.repeat(cost, np.diff(np.append(begin, len(key))))
         ends = np.cumsum([len(x) // 8 for x in keys])
@@ -279,7 +272,7 @@ def _answer_predictions(model) -> Callable[[pa.Table], pa.Table]:
 
 
 class PartialMatching:
-    """Orders 0 to 3: log10 of the probability of each symbol after each context, from the counts of all cells."""
+    """Orders 0 to 2, from the counts of all cells."""
 
     def __init__(self, cell: np.ndarray, n: np.ndarray):
         self.cell, self.n, self._table = cell, n, None
@@ -287,31 +280,32 @@ class PartialMatching:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_table": None}
 
-    def table(self) -> np.ndarray:
-        """All cells; made once in each process that needs them."""
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The count of each cell; the sum and the number of symbols seen of each context of two; and of each
+        cell log10 of the probability of its symbol. Made once in each process that needs them."""
         if self._table is None:
             s = SYMBOLS
             counts = np.zeros(s ** (DENSE_ORDER + 1), np.float32)
             counts[self.cell] = self.n
-            counts = counts.reshape(s, s, s, s)
-            two = counts.sum(0, dtype=np.float64)
-            one = two.sum(0)
+            counts = counts.reshape(s, s, s)
+            one = counts.sum(0, dtype=np.float64)
             none = one.sum(0)
             out = np.empty(counts.shape, np.float32)
             for first in range(s):
-                left, share = np.ones((s, s, 1)), np.zeros((s, s, s))
-                ruled_out = np.zeros((s, s, s), bool)
-                for seen in (counts[first].astype(np.float64), two, one[None], none[None, None]):
+                left, share = np.ones((s, 1)), np.zeros((s, s))
+                ruled_out = np.zeros((s, s), bool)
+                for seen in (counts[first].astype(np.float64), one, none[None]):
                     seen = np.broadcast_to(seen, share.shape)
                     open_ = np.where(ruled_out, 0.0, seen)
-                    total, distinct = open_.sum(2, keepdims=True), (open_ > 0).sum(2, keepdims=True)
+                    total, distinct = open_.sum(1, keepdims=True), (open_ > 0).sum(1, keepdims=True)
                     share += left * open_ / np.maximum(total + distinct, 1)
                     left = left * _escape(total, distinct)
                     ruled_out = ruled_out | (seen > 0)
                 unseen = ~ruled_out
-                share += left * unseen / np.maximum(unseen.sum(2, keepdims=True), 1)
+                share += left * unseen / np.maximum(unseen.sum(1, keepdims=True), 1)
                 out[first] = np.log10(share)
-            self._table = out.ravel()
+            totals, kinds = counts.sum(2, dtype=np.float64), (counts > 0).sum(2).astype(np.float64)
+            self._table = counts.ravel(), totals.ravel(), kinds.ravel(), out.ravel()
         return self._table
 
 
@@ -325,8 +319,6 @@ def _told(table: pa.Table, column: str, kind) -> np.ndarray:
 
 
 def _score(symbol: np.ndarray, tokens: int, distinct: int, ends: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    rare = max(int((symbol == RARE).sum()), 1)
-
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
         texts, training = binaries(table["text"]), _in_training(table)
         own = _Tokens(texts)
@@ -343,7 +335,6 @@ def _score(symbol: np.ndarray, tokens: int, distinct: int, ends: int) -> Callabl
             coded, place, begin = _coded(texts[lo:hi], symbol)
             code, asked = pd.factorize(_predictions(coded, place))
             each = cost[np.searchsorted(key, asked)].astype(np.float64)[code]
-            each[coded[place] == RARE] -= np.log10(rare)
             scores.append(np.add.reduceat(each, begin[:-1]))
         return pa.Table.from_arrays(
             [
@@ -377,10 +368,10 @@ def lm_scores(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col:
     told = ws.write(answer(words, _count_words, "batch long, part long, counts binary, tokens long, distinct long"), "told")
     sums = told.agg(F.sum("tokens"), F.sum("distinct")).first()
     texts = batches.table.select("doc_id", "text")
-    by_byte = {r.byte: r.n for r in texts.mapInArrow(_count_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
-    ends = by_byte.get(-1, 0)
-    symbol = alphabet(np.array([by_byte.get(b, 0) for b in range(256)], np.int64))
-    # at most 64^4 rows, whatever the corpus
+    fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
+    ends = texts.where(fold != HELD_OUT_FOLD).count()
+    symbol = alphabet()
+    # at most 231^3 rows, whatever the corpus
     cells = texts.mapInArrow(_count_cells(symbol), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     model = spark.sparkContext.broadcast(PartialMatching(cells["cell"].to_numpy(), cells["n"].to_numpy()))
     asked = batches.ask(_ask_predictions(batches.n, symbol), "part long, batch long, keys binary, counts binary")

@@ -298,6 +298,31 @@ def test_lm_score(spark, corpus):
         assert abs(rows.loc[i].score - score) < 1e-3 + 1e-5 * abs(score)
 
 
+def test_lm_score_learns_every_script(spark):
+    """With lower-case ASCII filling the frequent bytes, each byte of a minority script still is a symbol of its own."""
+    rng = random.Random(10)
+    ascii_ = "".join(map(chr, [*range(32, 65), *range(91, 127)]))
+    scripts = ["абвгдежзийклмнопрстуфхцчшщ", "的一是不了人我在有他这为之大来以个中上们", "éàüßñçøåœæ"]
+    words = [["".join(rng.choices(s, k=5)) for _ in range(6)] for s in scripts]
+    say = lambda s, k: " ".join(rng.choices(words[s], k=k))
+    shuffled = lambda t: "".join(rng.sample(t, len(t)))
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    ids = iter(range(10_000))
+    docs = [(next(i for i in ids if not held(i)), "".join(rng.choices(ascii_, k=400))) for _ in range(60)]
+    docs += [(next(i for i in ids if not held(i)), say(s, 12)) for s in range(3) for _ in range(4)]
+    pairs = []
+    for s in range(3):
+        text = say(s, 12)
+        pairs.append([next(i for i in ids if held(i)) for _ in range(2)])
+        docs += zip(pairs[-1], (text, shuffled(text)), strict=True)
+    rows = lm_score.lm_scores(frame(spark, docs), Workspace(spark, "t10b"), batch_bytes=4000).toPandas().set_index("doc_id")
+    assert all(rows.loc[i].score > 0.6 * rows.loc[j].score for i, j in pairs)
+    raw = {i: t.translate(brute.LOWER).encode() for i, t in docs}
+    model = brute.Ppm([[b + 1 for b in t] for i, t in raw.items() if not held(i)], lm_score.ORDER, 1 + 256 - 26)
+    for i in [i for pair in pairs for i in pair]:
+        assert abs(rows.loc[i].score - model.log10([b + 1 for b in raw[i]])) < 1e-3 + 1e-5 * abs(rows.loc[i].score)
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_equal_sql(spark, sf, name):
     assert_same(QUERIES[name], SQL[name], spark, sf)
