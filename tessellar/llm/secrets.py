@@ -25,7 +25,7 @@ from tessellar.llm.bitmap import BITS, bitmap_of, has
 from tessellar.llm.workspace import Workspace
 
 #: Changes whenever a rule changes; blobs are then scanned again.
-RULE_VERSION = "2024.1"
+RULE_VERSION = "2024.2"
 
 #: Kinds of the base contract: pattern, group whose length counts, least length.
 BASE = (
@@ -48,7 +48,7 @@ ADDED = (
     ("web_token", "eyJ", re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", re.ASCII)),
     ("map_key", "AIza", re.compile(r"\bAIza[A-Za-z0-9_-]{35}", re.ASCII)),
     ("payment_key", "k_live_", re.compile(r"\b[rs]k_live_[A-Za-z0-9]{16,}", re.ASCII)),
-    ("url_password", "://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:[^\s:/@]{3,100}@", re.ASCII)),
+    ("url_password", "://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s:/@]{3,}@", re.ASCII)),
 )
 
 FINDINGS = "sha string, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"

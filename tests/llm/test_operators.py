@@ -221,6 +221,12 @@ def test_secret_ledger_scans_a_blob_once(spark, monkeypatch):
     assert ledger.read().count() == 0
 
 
+@pytest.mark.parametrize(("user", "password"), [(4, 300), (300, 8), (3000, 20_000)])
+def test_url_password_of_any_length(user, password):
+    url = f"postgres://{'u' * user}:{'p' * password}@"
+    assert secrets.scan(f"see {url}db/x")[1] == [(4, 4 + len(url), "url_password")]
+
+
 def test_url_filter(spark):
     def want(url):
         if not url or "://" not in url:
