@@ -32,8 +32,8 @@ from tessellar.llm.wordstream import parts_of, slices
 
 #: Sizes of n-grams, hash buckets, dimensions of vectors, and how many distinct words stand for a text.
 GRAMS, BUCKET_BITS, DIMENSIONS, WORST = (3, 4, 5, 6), 17, 10, 8
-#: The sample that is trained on: documents of each label, and their longest text in characters.
-MOST_TOXIC, MOST_CLEAN, LONGEST = 1000, 2000, 100_000
+#: The sample that is trained on: documents of each label, whole, however long.
+MOST_TOXIC, MOST_CLEAN = 1500, 3000
 WARM_UP, EPOCHS, RATE = 12, 48, 0.4
 #: Bytes of text that are scored at once.
 STEP_BYTES = 1 << 20
@@ -123,23 +123,24 @@ class Toxicity:
         return np.round(out, 9)
 
 
-def train(texts: list[str], toxic: np.ndarray, importance: np.ndarray, seed: int = 3) -> Toxicity:
-    """Fit vectors and softmax jointly. ``importance``: the weight of each document."""
-    if not len(texts) or toxic.min() == toxic.max():
-        share = float(np.average(toxic, weights=importance)) if len(texts) else 0.0
-        share = min(max(share, 1e-6), 1 - 1e-6)
-        return Toxicity(np.zeros(1 << BUCKET_BITS, np.float32), float(np.log(share / (1 - share))))
-    number: dict[str, int] = {}
-    tokens = [
-        np.unique(np.fromiter((number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())), np.int32)) for t in texts
-    ]
-    size = np.array([len(t) for t in tokens], np.int64)
+def _constant(toxic: np.ndarray, importance: np.ndarray) -> Toxicity:
+    """Where no label or only one is known: the share of toxic documents, for every text."""
+    share = float(np.average(toxic, weights=importance)) if len(toxic) else 0.0
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    return Toxicity(np.zeros(1 << BUCKET_BITS, np.float32), float(np.log(share / (1 - share))))
+
+
+def train(token: np.ndarray, size: np.ndarray, vocabulary: list[str], toxic: np.ndarray, importance: np.ndarray, seed: int = 3) -> Toxicity:
+    """Fit vectors and softmax jointly.
+
+    ``token``: the numbers, in ``vocabulary``, of the distinct words of all documents, one
+    document after the other; ``size``: how many each has; ``importance``: its weight.
+    """
+    if not len(toxic) or toxic.min() == toxic.max():
+        return _constant(toxic, importance)
     first = np.concatenate([[0], np.cumsum(size)])
-    token = np.concatenate(tokens)
-    del tokens
-    word, bucket = _Subwords([" ".join(number)]).features()
-    n_words = len(number)
-    del number
+    word, bucket = _Subwords([" ".join(vocabulary)]).features()
+    n_words = len(vocabulary)
     per_word = np.bincount(word, minlength=n_words).astype(np.float64)
 
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -161,8 +162,8 @@ def train(texts: list[str], toxic: np.ndarray, importance: np.ndarray, seed: int
                 own = of_word[token[a:b]]
                 picks.append(a + (np.argpartition(own, b - a - WORST)[b - a - WORST :] if b - a > WORST else np.arange(b - a)))
             place, length, share = np.concatenate(picks), np.minimum(size, WORST), importance
-        who = np.repeat(np.arange(len(texts)), length)
-        mean = np.bincount(who, of_word[token[place]], len(texts)) / np.maximum(length, 1)
+        who = np.repeat(np.arange(len(toxic)), length)
+        mean = np.bincount(who, of_word[token[place]], len(toxic)) / np.maximum(length, 1)
         p = 1 / (1 + np.exp(-np.clip(mean + bias[1] - bias[0], -40, 40)))
         slope = share * (p - toxic)
         by_word = np.bincount(token[place], (slope / np.maximum(length, 1))[who], n_words) / per_word
@@ -180,17 +181,39 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
-def train_on(docs: DataFrame, labels: DataFrame, held_out: int = 5, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> Toxicity:
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [sorted(set(_WORD.findall((t.as_py() or "").lower()))) for t in batch["text"]]
+        columns = [batch["doc"], batch["label"], pa.array(words, pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc", "label", "words"])
+
+
+def train_on(
+    docs: DataFrame,
+    labels: DataFrame,
+    held_out: int = 5,
+    most_toxic: int = MOST_TOXIC,
+    most_clean: int = MOST_CLEAN,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+) -> Toxicity:
     """Train on a sample of the labelled documents outside the held-out fold.
 
     The sample is the rows of each label with the least hashes of their ids, at most
-    ``most_toxic`` and ``most_clean``, of texts up to ``LONGEST`` characters; the labels
-    weigh as the roots of how many documents have them. Rows without id or label are not used; a document that
-    any row calls toxic is toxic; of repeated documents one is used.
+    ``most_toxic`` and ``most_clean``, however long their texts; the driver gets their
+    distinct words, made on the executors. Labels weigh as the roots of how many documents
+    have them.
+
+    Defined cases: rows without id or label, and labels other than 0 and 1, are not used;
+    a document that any row calls toxic is toxic; of repeated documents the least text is
+    used; a labelled id without a document adds nothing; without both labels every text
+    scores the share of toxic ones.
     """
+    label = F.col(f"`{label_col}`").cast("int")
     usable = (
-        labels.select(F.col("doc_id").alias("doc"), F.col("toxic").alias("label"))
-        .where(F.col("doc").isNotNull() & F.col("label").isNotNull() & (fold(F.col("doc"), held_out) != 0))
+        labels.select(F.col(f"`{id_col}`").alias("doc"), label.alias("label"))
+        .where(F.col("doc").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("doc"), held_out) != 0))
         .groupBy("doc")
         .agg(F.max("label").alias("label"))
     )
@@ -201,19 +224,22 @@ def train_on(docs: DataFrame, labels: DataFrame, held_out: int = 5, most_toxic:
         picked = rows if picked is None else picked.unionByName(rows)
     # at most most_toxic + most_clean rows of 12 bytes
     sample = (
-        docs.select(F.col("doc_id").alias("doc"), F.col("text"))
-        .where(F.length("text") <= LONGEST)
+        docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
         .join(F.broadcast(picked), "doc")
         .groupBy("doc", "label")
         .agg(F.min("text").alias("text"))
-        .collect()
+        .mapInArrow(_distinct_words, T.StructType([picked.schema["doc"], picked.schema["label"], T.StructField("words", T.ArrayType(T.StringType()))]))
+        .toArrow()
+        .sort_by("doc")
+        .combine_chunks()
     )
-    sample.sort(key=lambda r: r.doc)
-    toxic = np.array([r.label for r in sample], np.float64)
+    toxic = sample["label"].to_numpy().astype(np.float64)
     mine = {label: max(1, int((toxic == label).sum())) for label in (0, 1)}
     # half way (in logits) between the classes as they are and as many of each: a miss costs more than a false alarm
-    importance = np.array([counts[r.label] ** 0.5 / mine[r.label] for r in sample], np.float64)
-    return train([r.text for r in sample], toxic, importance)
+    importance = np.array([counts[int(x)] ** 0.5 / mine[int(x)] for x in toxic], np.float64)
+    words = pa.concat_arrays([c.flatten() for c in sample["words"].chunks] or [pa.array([], pa.string())]).dictionary_encode()
+    size = np.array([len(x) for x in sample["words"]], np.int64)
+    return train(words.indices.to_numpy(), size, words.dictionary.to_pylist(), toxic, importance)
 
 
 def with_scores(docs: DataFrame, model: Toxicity, text_col: str = "text") -> DataFrame:
