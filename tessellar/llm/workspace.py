@@ -21,6 +21,23 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system that ``path`` is on, and the path for it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in the folder; none if it does not exist."""
+    files, where = _files(spark, path)
+    return [s.getPath().getName() for s in files.listStatus(where)] if files.exists(where) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, where = _files(spark, path)
+    files.delete(where, True)
+
+
 class Workspace:
     """Parquet tables of one run of an operator, under the shared folder.
 
@@ -62,15 +79,17 @@ class Workspace:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
             self._written.discard(name)
             if name in self._tables:
                 self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(name)}")
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+            delete(self.spark, self.path(name))
 
     def keep_only(self, *names: str) -> None:
         """Delete all tables but those that the result reads."""
         self.drop(*(self._written - set(names)))
+
+    def close(self) -> None:
+        """Delete the whole folder, when the result has been read or written elsewhere."""
+        self.drop(*list(self._written))
+        delete(self.spark, self.root)

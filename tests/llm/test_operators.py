@@ -75,6 +75,34 @@ def test_exact_dedup_keeps_what_the_index_has(spark):
     assert DigestIndex(spark, path, 4).read().count() == 3
 
 
+def test_exact_dedup_of_a_lost_batch(spark):
+    """A batch whose result was lost gets the same verdicts under its name, and none under another."""
+    path = Workspace(spark, "t1c").path("index")
+    docs = [(1, "a"), (2, "A"), (2, "A"), (3, "b"), (None, "c")]
+    kept = lambda rows: sorted((str(r.doc_id), r.keep_id, r.group_size, r.kept) for r in rows.collect())
+    first = kept(exact_dedup(frame(spark, docs), DigestIndex(spark, path, 4), Workspace(spark, "x"), batch="monday"))
+    assert sum(r[3] for r in first) == 3
+    assert kept(exact_dedup(frame(spark, docs), DigestIndex(spark, path, 4), Workspace(spark, "x"), batch="monday")) == first
+    other = kept(exact_dedup(frame(spark, docs), DigestIndex(spark, path, 4), Workspace(spark, "x"), batch="tuesday"))
+    assert not any(r[3] for r in other) and [r[:3] for r in other] == [r[:3] for r in first]
+
+
+def test_exact_dedup_index_compacts(spark):
+    path = Workspace(spark, "t1d").path("index")
+    index = DigestIndex(spark, path, 4)
+    for k in range(3):
+        exact_dedup(frame(spark, [(10 * k + i, f"text {10 * k + i}") for i in range(12)]), index, Workspace(spark, "x")).count()
+    held = sorted(tuple(r) for r in index.read().collect())
+    index.compact(bucket_rows=4)
+    assert index.buckets == 8 and len(held) == 32
+    again = DigestIndex(spark, path)  # found as it is now
+    assert (again.buckets, again.generation) == (8, 1) and sorted(tuple(r) for r in again.read().collect()) == held
+    shown = again.read()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in shown
+    rows = exact_dedup(frame(spark, [(99, "text 5"), (98, "new")]), again, Workspace(spark, "x"))
+    assert by_id(rows, "keep_id", "kept") == {99: (5, False), 98: (98, True)}
+
+
 def test_packing(spark, corpus):
     docs = [*corpus[0], (10_000, "long " * 5000)]
     rows = packing.pack(frame(spark, docs), Workspace(spark, "t2"), group_pieces=64).toPandas()
