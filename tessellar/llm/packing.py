@@ -7,14 +7,14 @@ tournament tree over the bins' free space finds the first bin that fits in O(log
 A random group has the length distribution of the whole, so its padding is as small;
 only its last few bins are partly empty.
 
-Ids are those of the `tokenizers` file; they are computed by `tiktoken` from the same
-vocabulary's ranks (three times as fast), where that file is beside it.
+Ids are those of the `tokenizers` file; they are computed by `tiktoken` from the ranks that
+are in that file (three times as fast), after a check that its merges say the same.
 """
 
 from __future__ import annotations
 
-import base64
 import functools
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -22,8 +22,10 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tessellar.llm.workspace import Workspace
 
@@ -35,28 +37,49 @@ VOCABULARY = "byte_bpe_50k.json"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 for itself, the others from 256 on."""
+    plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    other = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
+def _ranks(model: dict) -> dict[bytes, int] | None:
+    """Ranks that say the same as the file's merges: each makes the token of the next id. None, if they do not."""
+    pre = model.get("pre_tokenizer") or {}
+    if model["model"]["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or model.get("normalizer"):
+        return None
+    byte, special = _byte_of(), {t["content"] for t in model.get("added_tokens", [])}
+    ranks = {bytes(byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
+    made = sorted(ranks.values())[256:]
+    for merge, i in zip(model["model"]["merges"], made, strict=True):
+        pair = merge.split(" ") if isinstance(merge, str) else merge
+        if model["model"]["vocab"].get("".join(pair)) != i:
+            return None
+    return ranks
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Text to ids of the tokenizer file at ``path``, no special tokens added.
 
-    The string of the end-of-text token in a text becomes that token's id, as the file says.
+    Which library computes them depends on that file alone, so all executors do the same: a
+    byte-level file whose merges are in the order of its ids is read as ranks by `tiktoken`,
+    any other by `tokenizers`. The string of a special token in a text becomes that token's
+    id, as the file says.
     """
-    ranks_file = Path(path).with_suffix(".tiktoken")
-    if ranks_file.exists():
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.read_bytes().splitlines())}
-        special = {"<|endoftext|>": len(ranks)}
+    model = json.loads(Path(path).read_text(encoding="utf-8"))
+    ranks = _ranks(model)
+    if ranks is not None:
+        special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
         def encode(text: str) -> np.ndarray:
-            if "<|endoftext|>" in text:
+            if any(t in text for t in special):
                 return np.array(fast.encode(text, allowed_special="all"), np.uint32)
             return fast.encode_to_numpy(text)
 
         return encode
-    from tokenizers import Tokenizer
-
     tokenizer = Tokenizer.from_file(path)
     return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -138,8 +161,10 @@ def pack(
     """
     pieces = ws.write(pieces_of(docs, vocabulary or public_tokenizers.path(VOCABULARY), sequence, id_col=id_col, text_col=text_col), "pieces")
     n_groups = max(1, -(-pieces.count() // group_pieces))
-    # the place in the written table: stable under retries and different for equal rows
-    place = F.xxhash64(F.lit(seed), F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+    # the place in the written table, files told apart by the number in their name and not by its random part:
+    # the same in every run over the same input, and different for equal rows
+    part = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1)
+    place = F.xxhash64(F.lit(seed), part, F.col("_metadata.row_index"))
     dealt = pieces.select("*", F.pmod(place, F.lit(n_groups)).alias("grp"), place.alias("place"))
 
     def pack_group(table: pa.Table) -> pa.Table:
