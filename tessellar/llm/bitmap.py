@@ -1,6 +1,7 @@
-"""A bitmap of fixed size over hashes of keys: which rows may be in a set, wherever they are read.
+"""A bitmap over hashes of keys: which rows may be in a set, wherever they are read.
 
-It is as large as its number of bits, whatever the data. A false hit is for the caller to sort out.
+It has some bits for each key, from a least to a most size: what is broadcast has a bound. A
+false hit is for the caller to sort out; beyond the bound there are more of them.
 """
 
 from __future__ import annotations
@@ -9,11 +10,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 8 MB.
-BITS = 1 << 26
+#: From 128 KB to 64 MB, at 16 bits or more for each key in between.
+LEAST_BITS, MOST_BITS, EACH = 1 << 20, 1 << 29, 16
 
 
-def bitmap_of(slots: DataFrame, bits: int = BITS, column: str = "slot") -> np.ndarray:
+def bits_for(keys: int) -> int:
+    """The size for so many keys: a power of two."""
+    return min(max(LEAST_BITS, 1 << (EACH * keys).bit_length()), MOST_BITS)
+
+
+def bitmap_of(slots: DataFrame, bits: int, column: str = "slot") -> np.ndarray:
     """One bit for each slot (1 to ``bits``) in the column; a bounded number of fixed-size rows reach the driver."""
     out = np.zeros(bits // 8, np.uint8)
     slot = F.col(column)

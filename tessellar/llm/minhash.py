@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm.bitmap import BITS, bitmap_of, has
+from tessellar.llm.bitmap import bitmap_of, bits_for, has
 from tessellar.llm.components import components
 from tessellar.llm.wordstream import U64, Words, binaries, mix64, run_hashes, runs_inside, slices
 from tessellar.llm.workspace import Workspace
@@ -80,9 +80,9 @@ def class_ids(key: np.ndarray, begin: np.ndarray) -> list[bytes]:
     return [raw[i : i + 16] for i in range(0, len(raw), 16)]
 
 
-def slots(ids: list[bytes], bits: int = BITS) -> np.ndarray:
-    """The bit of each class, from 1."""
-    return (np.frombuffer(b"".join(ids), U64)[::2] % U64(bits)).astype(np.int64) + 1
+def slots(ids: list[bytes]) -> np.ndarray:
+    """A number from 0 for each class; its remainder is the class's bit in a bitmap."""
+    return (np.frombuffer(b"".join(ids), U64)[::2] >> U64(1)).astype(np.int64)
 
 
 def signatures(key: np.ndarray, begin: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
@@ -117,7 +117,9 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``cls, sketch, text`` and the other columns of each class, found by one more pass over the documents."""
-    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(classes.select("slot")))
+    size = bits_for(classes.count())
+    marked = bitmap_of(classes.select((F.pmod("slot", F.lit(size)) + 1).alias("slot")), size)
+    wanted = docs.sparkSession.sparkContext.broadcast(marked)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +128,7 @@ def _texts_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 key, begin = shingle_sets(texts[lo:hi])
                 ids = class_ids(key, begin)
                 # of equal sets here, the first
-                pick = list({ids[i]: i for i in np.flatnonzero(has(wanted.value, slots(ids)))[::-1].tolist()}.values())
+                pick = list({ids[i]: i for i in np.flatnonzero(has(wanted.value, slots(ids) % size + 1))[::-1].tolist()}.values())
                 own = [key[begin[i] : begin[i + 1]] for i in pick]
                 bounds = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
                 sketch = signatures(np.concatenate([*own, np.empty(0, U64)]), bounds, SKETCH).astype(np.uint8)

@@ -1,12 +1,13 @@
 """Secret scans with an incremental blob ledger (operator 8).
 
-Every text is content-addressed (SHA-256). The ledger holds a row for each pair of blob
-and rule version that was ever scanned, with its findings; a run scans only blobs whose
-pair is not there, once each however many paths hold them, appends them, and joins
-findings back to all paths.
+Every version of every path is content-addressed (SHA-256). The ledger holds a row for
+each pair of blob and rule version that was ever scanned, with its findings, in a folder
+for each rule version; a run scans only blobs whose pair is not there, once each however
+many paths and versions hold them, appends them, and joins findings back to all of them.
+The rule version is a digest of the rules, so an edited rule is a new one.
 
 Texts that one path holds and the ledger lacks, nearly all, are scanned where they are
-read. Which others there are is told by a bitmap of fixed size over hashes of digests;
+read. Which others there are is told by a bitmap of bounded size over hashes of digests;
 those few texts are shuffled by digest, one of each kept, and the ones the ledger lacks
 are scanned. A false hit of the bitmap only takes the longer way.
 """
@@ -21,11 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm.bitmap import BITS, bitmap_of, has
-from tessellar.llm.workspace import Workspace
-
-#: Changes whenever a rule changes; blobs are then scanned again.
-RULE_VERSION = "2024.2"
+from tessellar.llm.bitmap import bitmap_of, bits_for, has
+from tessellar.llm.workspace import Workspace, list_names
 
 #: Kinds of the base contract: pattern, group whose length counts, least length.
 BASE = (
@@ -51,6 +49,17 @@ ADDED = (
     ("url_password", "://", re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@]+:[^\s:/@]{3,}@", re.ASCII)),
 )
 
+#: A digest of all rules: blobs are scanned again whenever one changes.
+RULE_VERSION = hashlib.sha256(
+    repr(
+        (
+            [(kind, pattern.pattern, pattern.flags, group, least) for kind, pattern, group, least in BASE],
+            ASSIGN_WORDS,
+            [(kind, needle, pattern.pattern, pattern.flags) for kind, needle, pattern in ADDED],
+        )
+    ).encode()
+).hexdigest()[:16]
+
 FINDINGS = "sha string, rule_version string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
@@ -92,44 +101,56 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class BlobLedger:
-    """Findings of every (blob, rule version) ever scanned, as Parquet under ``path``."""
+    """Findings of every (blob, rule version) ever scanned, as Parquet under ``path``, a folder for each rule version."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    @property
+    def folder(self) -> str:
+        return f"{self.path}/rules={RULE_VERSION}"
+
     def read(self) -> DataFrame:
-        """The ledger; empty where nothing was ever scanned."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        """What these rules found, a row for each blob (two runs at once may have scanned the same one); empty where nothing was."""
+        if not list_names(self.spark, self.folder):
             return self.spark.createDataFrame([], FINDINGS)
-        return self.spark.read.schema(FINDINGS).parquet(self.path).where(F.col("rule_version") == RULE_VERSION)
+        return self.spark.read.schema(FINDINGS).parquet(self.folder).dropDuplicates(["sha"])
 
     def append(self, findings: DataFrame) -> None:
-        findings.write.mode("append").parquet(self.path)
+        findings.write.mode("append").parquet(self.folder)
 
 
 def scan_secrets(
-    docs: DataFrame, ledger: BlobLedger, ws: Workspace, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS
+    docs: DataFrame,
+    ledger: BlobLedger,
+    ws: Workspace,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    version_col: str | None = None,
+    bits: int | None = None,
 ) -> DataFrame:
-    """Scan what the ledger has not seen and return findings for every row.
+    """Scan what the ledger has not seen and return findings for every version of every path.
 
-    Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans``, a row for each
-    input row, those without findings too.
+    ``id_col`` is the path; with ``version_col`` a path has a row for each of its versions.
+    Returns ``doc_id`` (and ``version``, if there is one), ``sha256, n_assign, n_access,
+    n_hex, base_sha256, spans``, a row for each input row, those without findings too.
 
-    Defined cases: a null text is an empty one; null and repeated ids are kept as they
-    are; equal texts are scanned once; an empty table gives an empty result; other
+    Defined cases: a null text is an empty one; null and repeated ids and versions are kept
+    as they are; equal texts are scanned once; an empty table gives an empty result; other
     columns are not read.
     """
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
-    paths = ws.write(docs.select(F.col(id_col).alias("doc_id"), sha.alias("sha")), "paths")
-    slot = (F.pmod(F.xxhash64("sha"), F.lit(bits)) + 1).alias("slot")
+    text = F.col(f"`{text_col}`")
+    sha = F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+    names = [F.col(f"`{id_col}`").alias("doc_id")] + ([F.col(f"`{version_col}`").alias("version")] if version_col else [])
+    paths = ws.write(docs.select(*names, sha.alias("sha")), "paths")
     held = paths.groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
     state = ws.write(
-        held.join(ledger.read().select("sha", F.lit(True).alias("seen")).hint("merge"), "sha", "left").select("sha", "n", "seen", slot),
-        "blobs",
+        held.join(ledger.read().select("sha", F.lit(True).alias("seen")).hint("merge"), "sha", "left"), "blobs"
     )
-    apart = docs.sparkSession.sparkContext.broadcast(bitmap_of(state.where((F.col("n") > 1) | F.col("seen")), bits))
+    several = state.where((F.col("n") > 1) | F.col("seen"))
+    size = bits or bits_for(several.count())
+    slot = (F.pmod(F.xxhash64("sha"), F.lit(size)) + 1).alias("slot")
+    apart = docs.sparkSession.sparkContext.broadcast(bitmap_of(several.select(slot), size))
 
     def rows_where(marked: bool):
         def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +160,7 @@ def scan_secrets(
 
         return keep
 
-    texts = docs.select(sha.alias("sha"), F.col(text_col).alias("text")).select("sha", slot, "text")
+    texts = docs.select(sha.alias("sha"), text.alias("text")).select("sha", slot, "text")
     alone = rows_where(False)
     ledger.append(texts.mapInArrow(lambda batches: _scan_batches(alone(batches)), FINDINGS))
     shared = texts.mapInArrow(rows_where(True), "sha string, text string").groupBy("sha").agg(F.first("text").alias("text"))
@@ -149,7 +170,7 @@ def scan_secrets(
     return (
         paths.hint("merge")
         .join(ledger.read(), "sha")
-        .select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+        .select("doc_id", *(["version"] if version_col else []), F.col("sha").alias("sha256"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
     )
 
 
@@ -157,4 +178,4 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` against a ledger that begins empty."""
     ws = Workspace(spark, "op8")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scan_secrets(docs, BlobLedger(spark, ws.path("ledger")), ws)
+    return scan_secrets(docs, BlobLedger(spark, ws.path("ledger")), ws).drop("sha256")

@@ -78,6 +78,39 @@ def near(docs):
     return {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+VERDICTS = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def url_rule(url):
+    """Host, path and the longest rule that fits."""
+    if not url or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = re.split(r"[/?#]", rest)[0]
+    path = re.split(r"[?#]", rest[len(host) :])[0]
+    host = host.translate(LOWER)
+    rules = {"net/": "net", "example.net/en/": "example.net", "example.com/de/": "example.com", "org/fr/": "org"}
+    fits = [r for r, h in rules.items() if (host == h or host.endswith("." + h)) and path.startswith(r[len(h) :])]
+    return host, path, max(fits, key=len, default=None)
+
+
+_KINDS = (
+    ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12),
+    ("access", "(AKIA[A-Z0-9]+)()", 18),
+    ("hex", "([0-9a-f]+)()", 16),
+)
+
+
+def secrets(text):
+    """Base matches: (start, rank of the kind, end, kind), in order."""
+    return sorted(
+        (m.start(), k, m.end(), kind)
+        for k, (kind, p, least) in enumerate(_KINDS)
+        for m in re.finditer(p, text)
+        if len(m[2] if kind == "assign" else m[0]) >= least
+    )
+
+
 def base_scores(docs):
     import math
 
