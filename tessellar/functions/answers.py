@@ -29,16 +29,13 @@ _SMALL = (
 ).split()
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 NUMBERS = {w: k for k, w in enumerate(_SMALL)} | {w: 10 * k for k, w in enumerate(_TENS, 2)}
-# fixed values: units, by their short form
+# fixed values: names of units and their short forms
 UNITS = {
-    long: short
-    for short, names in {
-        "c": "celsius centigrade", "f": "fahrenheit", "%": "percent percentage", "min": "minutes mins minute", "s": "seconds secs sec second",
-        "h": "hours hrs hour", "day": "days", "week": "weeks", "month": "months", "year": "years", "kg": "kilograms kilogram", "g": "grams gram",
-        "mg": "milligrams milligram", "mm": "millimetres millimeter", "m": "metres meter", "km": "kilometres kilometer", "l": "litres liter",
-        "lb": "pounds pound", "oz": "ounces ounce",
-    }.items()
-    for long in names.split()
+    "celsius": "c", "centigrade": "c", "fahrenheit": "f", "percent": "%", "percentage": "%", "minutes": "min", "mins": "min",
+    "minute": "min", "seconds": "s", "secs": "s", "sec": "s", "second": "s", "hours": "h", "hrs": "h", "hour": "h", "days": "day",
+    "weeks": "week", "months": "month", "years": "year", "kilograms": "kg", "kilogram": "kg", "grams": "g", "gram": "g", "milligrams": "mg",
+    "milligram": "mg", "millimetres": "mm", "millimeter": "mm", "metres": "m", "meter": "m", "kilometres": "km", "kilometer": "km",
+    "litres": "l", "liter": "l", "pounds": "lb", "pound": "lb", "ounces": "oz", "ounce": "oz",
 }
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-_][a-z0-9]+)*")
 

@@ -1,7 +1,8 @@
 """Lexical index and BM25 scoring, per session.
 
-The index is three tables: ``postings(session_id, chunk_id, term, tf)``,
-``lengths(session_id, chunk_id, dl, n, avgdl)`` and ``terms(session_id, term, df, idf)``.
+The index is three tables: ``postings(session_id, chunk_id, term, tf, dl)``,
+``sums(session_id, n, avgdl)`` and ``terms(session_id, term, df, idf)``, written once by an
+``IndexStore`` and read by every search until the session's chunks change.
 Searches take a DataFrame of queries (``qid, session_id, text``) and run as one plan.
 """
 
@@ -9,62 +10,104 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessellar.config import DEFAULTS, Settings
 from tessellar.functions.text import content_terms, tokens
+from tessellar.work import delete, exists
+
+#: Queries whose terms or vectors are broadcast; beyond it they are shuffled.
+MOST_BROADCAST = 10_000
 
 
 @dataclass
 class LexicalIndex:
     postings: DataFrame
-    lengths: DataFrame
+    sums: DataFrame
     terms: DataFrame
 
-    def release(self) -> None:
-        self.postings.unpersist()
 
+def asked_few(queries: DataFrame) -> bool:
+    """Whether the queries are few enough for their terms and vectors to be broadcast."""
+    return queries.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
 
-def _postings(chunks: DataFrame) -> DataFrame:
-    """Term counts of each chunk, by the rules of ``tokens``, without lambda functions.
 
-    Plain expressions are compiled, where lambda functions are interpreted.
-    """
-    text = F.coalesce("text", F.lit(""))
-    found = F.concat(
-        F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1), F.regexp_extract_all(text, F.lit(r"([0-9]+(?:[.,][0-9]+)+|[0-9]+)"), 1)
-    )
-    names = chunks.select("session_id", "chunk_id", F.explode(found).alias("name"))
-    number = F.col("name").rlike("^[0-9]")
-    whole = F.when(number, F.replace("name", F.lit(","), F.lit(""))).otherwise(F.lower("name"))
-    pieces = F.regexp_extract_all("name", F.lit(r"([A-Z]+(?![a-z])|[A-Z][a-z0-9]*|[a-z0-9]+)"), 1)
-    parts = F.when(~number & F.col("name").rlike("_|.[A-Z]"), F.split(F.lower(F.array_join(pieces, " ")), " ")).otherwise(F.array().cast("array<string>"))
-    terms = names.select("session_id", "chunk_id", number.alias("number"), whole.alias("whole"), F.posexplode(F.concat(F.array(whole), parts)).alias("k", "term"))
-    kept = (F.col("number") & (F.col("k") == 0)) | ((F.length("term") > 1) & ((F.col("k") == 0) | (F.col("term") != F.col("whole"))))
-    return terms.where(kept).groupBy("session_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _postings(chunks: DataFrame) -> DataFrame:
+    """``session_id, chunk_id, term, tf, dl``: the tokens of each chunk counted, and how many it has."""
+    found = chunks.select("session_id", "chunk_id", tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    terms = found.select("session_id", "chunk_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    # chunks dealt by id need no shuffle for this
+    return terms.groupBy("session_id", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def build_index(chunks: DataFrame) -> LexicalIndex:
     """Index ``chunks(session_id, chunk_id, text)``; idf and average length are those of the session.
 
-    Texts are tokenised once: the postings are kept (in memory, then on the executors'
-    disks; a lost block is made again) for lengths, document frequencies and searches,
-    until ``release``.
+    Nothing is kept: each use of a table makes it again. ``IndexStore`` writes them once.
     """
-    postings = _postings(chunks).persist(StorageLevel.MEMORY_AND_DISK)
-    sized = postings.groupBy("session_id", "chunk_id").agg(F.sum("tf").alias("dl"))
     held = chunks.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
-    sums = held.join(sized.groupBy("session_id").agg(F.sum("dl").alias("all")), "session_id").select("session_id", "n", (F.col("all") / F.col("n")).alias("avgdl"))
+    return _with_terms(_postings(chunks), held)
+
+
+def _with_terms(postings: DataFrame, held: DataFrame) -> LexicalIndex:
+    """The index of ``postings`` for sessions of ``held(session_id, n)`` chunks."""
+    lengths = postings.groupBy("session_id").agg(F.sum("tf").alias("all"))
+    sums = held.join(lengths, "session_id").select("session_id", "n", (F.col("all") / F.col("n")).alias("avgdl"))
     terms = (
         postings.groupBy("session_id", "term")
         .agg(F.count("tf").alias("df"))
         .join(sums, "session_id")
         .select("session_id", "term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     )
-    return LexicalIndex(postings, sized.join(sums, "session_id"), terms)
+    return LexicalIndex(postings, sums, terms)
+
+
+class IndexStore:
+    """Written indexes under ``path``, a folder for each session, good as long as the session's chunks are as many.
+
+    ``index`` builds what is missing or has changed and leaves the other sessions alone;
+    ``invalidate`` makes the next call build sessions again whose texts changed in place.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, chunk_id: str = "long", session_id: str = "string"):
+        self.spark, self.path = spark, path
+        key = f"session_id {session_id}"
+        self.schemas = {
+            "postings": f"chunk_id {chunk_id}, term string, tf long, dl long, {key}",
+            "sums": f"n long, avgdl double, {key}",
+            "terms": f"term string, df long, idf double, {key}",
+        }
+
+    def _read(self, name: str) -> DataFrame:
+        where = f"{self.path}/{name}"
+        if not exists(self.spark, where):
+            return self.spark.createDataFrame([], T._parse_datatype_string(self.schemas[name]))
+        return self.spark.read.schema(self.schemas[name]).parquet(where)
+
+    def _write(self, rows: DataFrame, name: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{self.path}/{name}")
+
+    def index(self, chunks: DataFrame) -> LexicalIndex:
+        """The index of ``chunks(session_id, chunk_id, text)``."""
+        held = chunks.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+        stale = held.join(self._read("sums").select("session_id", "n"), ["session_id", "n"], "left_anti")
+        if not stale.isEmpty():
+            part = chunks.join(F.broadcast(stale.select("session_id")), "session_id", "left_semi")
+            self._write(build_index(part).postings.sortWithinPartitions("session_id", "term"), "postings")
+            built = _with_terms(self._read("postings").join(F.broadcast(stale.select("session_id")), "session_id", "left_semi"), held)
+            self._write(built.terms, "terms")
+            # last, as it is what says that a session is indexed
+            self._write(built.sums, "sums")
+        return LexicalIndex(self._read("postings"), self._read("sums"), self._read("terms"))
+
+    def invalidate(self, *sessions: str) -> None:
+        """Forget the sessions' indexes."""
+        for session in sessions:
+            for name in reversed(self.schemas):
+                delete(self.spark, f"{self.path}/{name}/session_id={session}")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -84,7 +127,9 @@ def score(index: LexicalIndex, queries: DataFrame, settings: Settings = DEFAULTS
     """
     wanted = query_terms(queries).join(index.terms, ["session_id", "term"])
     mass = wanted.where("content").groupBy("qid").agg(F.sum("idf").alias("mass"))
-    matched = index.postings.join(wanted, ["session_id", "term"]).join(index.lengths, ["session_id", "chunk_id"])
+    if asked_few(queries):
+        wanted = F.broadcast(wanted)
+    matched = index.postings.join(wanted, ["session_id", "term"]).join(index.sums, "session_id")
     norm = F.col("tf") + settings.k1 * (1 - settings.b + settings.b * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (settings.k1 + 1) / norm
     scored = matched.groupBy("qid", "session_id", "chunk_id").agg(

@@ -13,13 +13,14 @@ from tessellar.operators import drafting
 from tessellar.operators.evaluation import contained_facts
 from tessellar.plans import sqltext
 from tessellar.sources import chunking
+from tessellar.work import spread
 
 # fixed values: the settings that are compared (size, overlap)
 SETTINGS = ((300, 50), (450, 75), (600, 100), (900, 150), (1200, 200), (1600, 266))
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").withColumn("text", F.coalesce("text", F.lit("")))
+    return spread(spark.read.parquet(f"{sf}/documents.parquet")).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:

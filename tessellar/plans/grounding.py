@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessellar.functions import answers, grounding
+from tessellar.work import spread
 
 
 def _replies(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,7 +44,7 @@ def sentence_units(spark: SparkSession, sf: str) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "start", "end"])
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "text")
     return docs.mapInArrow(cut, "doc_id long, start int, end int")
 
 

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessellar.sources import chunking, parsers
+from tessellar.work import spread
 
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf}/pages.parquet"))
     files = pages.select(F.col("page_id").alias("doc_id"), F.lit("page.html").alias("path"), F.col("html").cast("binary").alias("content"))
     return parsers.read_files(files)
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf}/documents.parquet"))
     files = docs.select("doc_id", F.lit("note.txt").alias("path"), F.col("text").cast("binary").alias("content"))
     return parsers.read_files(files)
 

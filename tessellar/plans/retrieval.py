@@ -1,12 +1,14 @@
 """Retrieval queries: BM25, exact nearest neighbours, fusion, admission, hits and summaries.
 
-Chunks are documents with the vector of the same number; a session is a language and a
-source a vector's label. Questions are the benchmark's items, in the English session,
-each with the vector numbered 50 times the item.
+Chunks are all documents, a session is a language; a document has the vector of its number,
+if there is one. Questions are all items of the benchmark, each asked in every session
+(``qid`` is ``item/session``) with the vector numbered 50 times the item, if there is one.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,51 +17,71 @@ from tessellar.functions.text import numeric_heavy
 from tessellar.operators import lexical
 from tessellar.operators import search as S
 from tessellar.plans import sqltext
-
-SESSION = "en"
+from tessellar.work import shared_root, spread
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as a chunk."""
-    return spark.read.parquet(f"{sf}/documents.parquet").select(
+    return spread(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").select(
         F.col("lang").alias("session_id"), F.col("doc_id").alias("chunk_id"), "source", "text"
     )
 
 
+def _index(spark: SparkSession, sf: str) -> lexical.LexicalIndex:
+    """The written index of all documents: made by the first query of an application that asks, read by the others."""
+    name = hashlib.md5(f"{spark.sparkContext.applicationId} {sf}".encode()).hexdigest()
+    return lexical.IndexStore(spark, f"{shared_root(spark)}/tessellar/lexical/{name}").index(_documents(spark, sf))
+
+
 def _items(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/benchmark.parquet").select(
-        F.col("item_id").alias("qid"), F.lit(SESSION).alias("session_id"), "text"
+    """Every item in every session."""
+    sessions = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("lang").alias("session_id")).distinct()
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return items.join(F.broadcast(sessions)).select(
+        F.concat_ws("/", "item_id", "session_id").alias("qid"), "item_id", "session_id", "text"
     )
 
 
+def _vectors(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias(name), "embedding")
+
+
 def _chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that have a vector."""
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
-    docs = _documents(spark, sf).drop("source")
-    return docs.join(vectors, "chunk_id").select(
-        "session_id", "chunk_id", F.col("label").cast("long").alias("source"), "text", numeric_heavy(F.col("text")).alias("numeric_heavy"), "embedding"
+    """Every document, with its vector if it has one."""
+    docs = _documents(spark, sf).withColumn("numeric_heavy", numeric_heavy(F.coalesce("text", F.lit(""))))
+    return docs.join(_vectors(spark, sf, "chunk_id"), "chunk_id", "left").select(
+        "session_id", "chunk_id", "source", "text", "numeric_heavy", "embedding"
     )
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("v"), "embedding")
-    return _items(spark, sf).withColumn("v", F.col("qid") * 50).join(vectors, "v").drop("v")
+    """Every item in every session, with its vector if it has one."""
+    return _items(spark, sf).withColumn("v", F.col("item_id") * 50).join(_vectors(spark, sf, "v"), "v", "left").drop("v", "item_id")
+
+
+def _found(spark: SparkSession, sf: str) -> DataFrame:
+    return S.candidates(_questions(spark, sf), _chunks(spark, sf), DEFAULTS.top_k, index=_index(spark, sf))
+
+
+def searched(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Hits and summary of all questions."""
+    return S.search(_questions(spark, sf), _chunks(spark, sf), index=_index(spark, sf))
 
 
 def term_df_idf(spark: SparkSession, sf: str) -> DataFrame:
-    terms = lexical.build_index(_documents(spark, sf)).terms
+    terms = _index(spark, sf).terms
     return terms.select("session_id", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     chunks, items = _documents(spark, sf), _items(spark, sf)
-    scored = lexical.score(lexical.build_index(chunks), items)
+    scored = lexical.score(_index(spark, sf), items)
     best = lexical.top(scored, items, chunks, DEFAULTS.top_k)
     return best.select("qid", "chunk_id", "rank", F.round("bm25", 5).alias("bm25"), F.round("coverage", 5).alias("coverage"))
 
 
 def query_coverage(spark: SparkSession, sf: str) -> DataFrame:
-    scored = lexical.score(lexical.build_index(_documents(spark, sf)), _items(spark, sf))
+    scored = lexical.score(_index(spark, sf), _items(spark, sf))
     return scored.where(F.round("coverage", 6) >= 0.5).select("qid", "chunk_id", F.round("coverage", 6).alias("coverage"))
 
 
@@ -70,12 +92,12 @@ def knn_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    found = S.candidates(_questions(spark, sf), _chunks(spark, sf), DEFAULTS.top_k)
+    found = _found(spark, sf)
     return found.select("qid", "chunk_id", "d_rank", "l_rank", "fused", F.round("rrf", 8).alias("rrf"), "raw_score")
 
 
 def admission_routes(spark: SparkSession, sf: str) -> DataFrame:
-    judged = S.admitted(S.candidates(_questions(spark, sf), _chunks(spark, sf), DEFAULTS.top_k), DEFAULTS.min_score)
+    judged = S.admitted(_found(spark, sf), DEFAULTS.min_score)
     return judged.groupBy("qid").agg(
         *[F.count(F.when(F.col("route") == r, 1)).alias(f"n_{r}") for r in ("dense", "both", "lexical")],
         F.count(F.when(F.col("route").isNull(), 1)).alias("n_dropped"),
@@ -84,12 +106,12 @@ def admission_routes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    hits, _ = S.search(_questions(spark, sf), _chunks(spark, sf))
+    hits, _ = searched(spark, sf)
     return hits.select("qid", "place", "chunk_id", "source", "route", "score", "raw_score", F.round("support", 5).alias("support"))
 
 
 def search_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return S.search(_questions(spark, sf), _chunks(spark, sf))[1]
+    return searched(spark, sf)[1]
 
 
 def source_cap_backfill(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,9 +131,7 @@ def rerank_tiers(spark: SparkSession, sf: str) -> DataFrame:
         a, b = F.split(F.lower(question), " "), F.split(F.lower(text), " ")
         return F.round(F.size(F.array_intersect(a, b)) / F.greatest(F.size(b), F.lit(1)), 8)
 
-    chunks = _chunks(spark, sf)
-    found = S.candidates(_questions(spark, sf), chunks, DEFAULTS.top_k)
-    named = found.join(_questions(spark, sf).select("qid", F.col("text").alias("query_text")), "qid").join(chunks.select("chunk_id", "text"), "chunk_id")
+    named = _found(spark, sf).join(_items(spark, sf).select("qid", F.col("text").alias("query_text")), "qid").join(_documents(spark, sf).select("chunk_id", "text"), "chunk_id")
     return S.reranked(named, scorer).select("qid", "chunk_id", "fused", "order")
 
 
@@ -153,7 +173,7 @@ every AS (
 lexrank AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(bm25, 10) DESC, chunk_id) AS rank FROM every)"""
 
 _ALL_DOCS = f"""chunks AS (SELECT lang AS session_id, doc_id AS chunk_id, text FROM documents),
-asked AS (SELECT item_id AS qid, '{SESSION}' AS session_id, text FROM benchmark),"""
+asked AS (SELECT item_id || '/' || lang AS qid, lang AS session_id, text FROM benchmark, (SELECT DISTINCT lang FROM documents)),"""
 
 _DOT = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
 
@@ -164,14 +184,16 @@ _KNN = f"""near AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 10) DESC, chunk_id) AS rank FROM near)"""
 
 _HYBRID = f"""chunks AS (
-  SELECT d.lang AS session_id, d.doc_id AS chunk_id, CAST(e.label AS BIGINT) AS source, d.text, {sqltext.numeric_heavy("d.text")} AS numeric_heavy, e.embedding
-  FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id
+  SELECT d.lang AS session_id, d.doc_id AS chunk_id, d.source, d.text, {sqltext.numeric_heavy("coalesce(d.text, '')")} AS numeric_heavy, e.embedding
+  FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id
 ),
 asked AS (
-  SELECT b.item_id AS qid, '{SESSION}' AS session_id, b.text, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id * 50
+  SELECT b.item_id || '/' || s.lang AS qid, s.lang AS session_id, b.text, e.embedding
+  FROM benchmark b CROSS JOIN (SELECT DISTINCT lang FROM documents) s LEFT JOIN embeddings e ON e.vec_id = b.item_id * 50
 ),{_LEXICAL},{_SCORED},
 sims AS (
   SELECT a.qid, c.chunk_id, {_DOT.format(a="a.embedding", b="c.embedding")} AS sim FROM asked a JOIN chunks c USING (session_id)
+  WHERE a.embedding IS NOT NULL AND c.embedding IS NOT NULL
 ),
 dense AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 10) DESC, chunk_id) AS rank FROM sims),
 fused0 AS (
@@ -181,8 +203,8 @@ fused0 AS (
 ),
 found AS (
   SELECT f.*, row_number() OVER (PARTITION BY f.qid ORDER BY round(rrf, 12) DESC, d_rank ASC NULLS LAST, l_rank ASC NULLS LAST) AS fused,
-         round(s.sim, 4) AS raw_score, coalesce(f.coverage, 0) AS support, c.source, c.numeric_heavy, c.text
-  FROM fused0 f JOIN sims s USING (qid, chunk_id) JOIN chunks c USING (chunk_id)
+         coalesce(round(s.sim, 4), 0) AS raw_score, coalesce(f.coverage, 0) AS support, c.source, c.numeric_heavy, c.text
+  FROM fused0 f LEFT JOIN sims s USING (qid, chunk_id) JOIN chunks c USING (chunk_id)
 ),
 routed AS (
   SELECT *, avg(CAST(numeric_heavy AS INT)) OVER (PARTITION BY qid) AS numeric_share, count(*) OVER (PARTITION BY qid) AS n_candidates,

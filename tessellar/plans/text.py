@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from tessellar.functions import text as T
 from tessellar.operators import occurrences
 from tessellar.plans import sqltext
+from tessellar.work import spread
 
 TERM = "and the"
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").withColumn("text", F.coalesce("text", F.lit("")))
+    return spread(spark.read.parquet(f"{sf}/documents.parquet")).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def occurrence_count(spark: SparkSession, sf: str) -> DataFrame:
