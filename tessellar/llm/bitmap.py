@@ -37,3 +37,21 @@ def has(bitmap: np.ndarray, slot: np.ndarray) -> np.ndarray:
     """Whether the bit of each slot is set."""
     at = slot - 1
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def split_by(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` is surely not among ``keys``, and those where it may be; native, without a shuffle of rows.
+
+    Pieces of the bitmap (4 KB each) are broadcast and met by their number.
+    """
+    size = bits_for(keys.count())
+    slot = F.pmod(F.xxhash64(key), F.lit(size)) + 1
+    pieces = keys.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("_piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits")
+    )
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("shiftright(_byte, cast(_at & 7 as int)) & 1")
+    met = rows.join(F.broadcast(pieces), F.bitmap_bucket_number(slot) == F.col("_piece"), "left").withColumns({"_byte": byte, "_at": at})
+    hit = F.coalesce(bit == 1, F.lit(False))
+    return tuple(met.where(test).select(*[F.col(f"`{c}`") for c in rows.columns]) for test in (~hit, hit))

@@ -200,6 +200,48 @@ def test_line_dedup(spark, least):
     assert by_id(rows, "n_lines", "n_removed", "kept_text") == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_counts_words_in_short_runs(spark, seed):
+    """Against every window of every length: lines of 1, 7 and 13 words, long repeated stretches, whole copies."""
+    rng = random.Random(seed)
+    pool = [" ".join(rng.choice("abcd") for _ in range(n)) for n in (1, 1, 1, 7, 7, 13, 20)]
+    stretch = [rng.choice(pool) + str(i) for i in range(14)]
+    docs = []
+    for i in range(60):
+        lines = [rng.choice(pool) if rng.random() < 0.5 else f"own {i} {k}" for k in range(rng.choice((1, 2, 4, 9)))]
+        if rng.random() < 0.3:
+            at, size = rng.randrange(6), rng.randrange(1, 14)
+            lines[1:1] = stretch[at : at + size]
+        docs.append((i, "\n".join(lines) if i % 9 else None))
+    docs += [(100, docs[1][1]), (101, docs[2][1])]
+    split = {i: [] if t is None else t.split("\n") for i, t in docs}
+    seen, count, want = set(), {}, {}
+    for i, lines in split.items():
+        for h in (1, 2, 3, 6, 12, 24):
+            for s in range(len(lines) - h + 1):
+                key = tuple(lines[s : s + h])
+                count[key] = count.get(key, 0) + 1
+    for i, lines in split.items():
+        gone = set()
+        for s in range(len(lines)):
+            for h in (1, 2, 3):
+                run = tuple(lines[s : s + h])
+                if len(run) == h and (h == 3 or len(" ".join(run).split()) >= 13):
+                    gone |= set(range(s, s + h)) if run in seen else set()
+                    seen.add(run)
+        depth = max((h for h in (1, 2, 3, 6, 12, 24) for s in range(len(lines) - h + 1) if count[tuple(lines[s : s + h])] > 1), default=0)
+        want[i] = (len(lines), len(gone), depth, "\n".join(x for p, x in enumerate(lines) if p not in gone))
+    rows = line_dedup(frame(spark, docs), Workspace(spark, "t7b"))
+    assert by_id(rows, "n_lines", "n_removed", "repeat_depth", "kept_text") == want
+
+
+def test_line_dedup_id_of_the_largest_value(spark):
+    """A row without id comes after one whose id is the largest there is."""
+    text, most = "a\nb\nc", (1 << 63) - 1
+    rows = line_dedup(spark.createDataFrame([(None, text), (most, text)], "doc_id long, text string"), Workspace(spark, "t7c"))
+    assert by_id(rows, "n_removed") == {most: (0,), None: (3,)}
+
+
 SECRETS = [
     (1, "my Password = 'abcdefghijkl' and token: short"),
     (2, "secret: token: abcdefghijklmnop"),
