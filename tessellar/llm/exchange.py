@@ -9,6 +9,11 @@ the answers go back to their batch.
 A key that a third of all documents hold is one entry for each batch, so no key or group
 of copies weighs more than the number of batches; ranges of mixed hashes are even. Blobs
 hold plain arrays (a few bytes for each key), several times smaller than rows.
+
+A range is what the keys of ``RANGE_BATCHES`` batches come to, so there are that many times
+fewer ranges than batches and a task's share stays the same however large the corpus. Blobs
+number batches times ranges until a batch has fewer keys than there are ranges, and from
+there on at most one for each key: never more than the rows that a plain shuffle would move.
 """
 
 from __future__ import annotations
@@ -27,6 +32,10 @@ U64 = np.uint64
 #: raise it as far as a Python worker's memory allows (about 20 bytes for each of text).
 BATCH_BYTES = 12 << 20
 MOST_BUCKETS = 50_000
+#: Batches whose keys together fill a range.
+RANGE_BATCHES = 2
+#: Ranges of a small corpus, for work on as many cores.
+LEAST_PARTS = 32
 
 
 class Batches:
@@ -39,6 +48,7 @@ class Batches:
         )
         size = texts.agg(F.sum(F.length("text") + 64)).first()[0] or 0
         self.n = max(1, -(-size // batch_bytes))
+        self.parts = max(min(self.n, LEAST_PARTS), -(-self.n // RANGE_BATCHES))
         row = F.monotonically_increasing_id()
         dealt = texts.select(row.alias("row"), "doc_id", "text").select(F.pmod(F.xxhash64("row"), F.lit(self.n)).alias("batch"), "*")
         self.table = ws.write_bucketed(dealt, "batches", min(self.n, MOST_BUCKETS), "batch")
@@ -51,9 +61,9 @@ class Batches:
         return groups.cogroup(answers.groupBy("batch")).applyInArrow(question, schema)
 
 
-def answer(blobs: DataFrame, reply: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
-    """Run ``reply`` on all blobs of each range."""
-    return blobs.groupBy("part").applyInArrow(reply, schema)
+def answer(blobs: DataFrame, parts: int, reply: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """Run ``reply`` on all blobs of each of ``parts`` ranges; a task for each few ranges, however many there are."""
+    return blobs.repartition(parts, "part").groupBy("part").applyInArrow(reply, schema)
 
 
 def range_of(key: np.ndarray, parts: int) -> np.ndarray:

@@ -364,8 +364,8 @@ def lm_scores(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col:
     """
     spark = docs.sparkSession
     batches = Batches(docs, ws, id_col, text_col, batch_bytes)
-    words = batches.ask(_ask_words(batches.n), "part long, batch long, keys binary, counts binary")
-    told = ws.write(answer(words, _count_words, "batch long, part long, counts binary, tokens long, distinct long"), "told")
+    words = batches.ask(_ask_words(batches.parts), "part long, batch long, keys binary, counts binary")
+    told = ws.write(answer(words, batches.parts, _count_words, "batch long, part long, counts binary, tokens long, distinct long"), "told")
     sums = told.agg(F.sum("tokens"), F.sum("distinct")).first()
     texts = batches.table.select("doc_id", "text")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
@@ -374,8 +374,8 @@ def lm_scores(docs: DataFrame, ws: Workspace, id_col: str = "doc_id", text_col:
     # at most 231^3 rows, whatever the corpus
     cells = texts.mapInArrow(_count_cells(symbol), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     model = spark.sparkContext.broadcast(PartialMatching(cells["cell"].to_numpy(), cells["n"].to_numpy()))
-    asked = batches.ask(_ask_predictions(batches.n, symbol), "part long, batch long, keys binary, counts binary")
-    priced = ws.write(answer(asked, _answer_predictions(model), "batch long, part long, keys binary, costs binary"), "priced")
+    asked = batches.ask(_ask_predictions(batches.parts, symbol), "part long, batch long, keys binary, counts binary")
+    priced = ws.write(answer(asked, batches.parts, _answer_predictions(model), "batch long, part long, keys binary, costs binary"), "priced")
     tokens, distinct = (sums[0] or 0) + ends, (sums[1] or 0) + (ends > 0)
     answers = told.select("batch", "part", F.col("counts").alias("word_counts")).unionByName(priced, allowMissingColumns=True)
     result = ws.write(batches.ask(_score(symbol, tokens, distinct, ends), SCORES, answers), "result")

@@ -226,12 +226,12 @@ def substring_dedup(
     """
     block = (window + 1) // 2
     batches = Batches(docs, ws, id_col, text_col, batch_bytes)
-    runs = batches.ask(_anchors(batches.n, block), "part long, batch long, low binary, block binary, several binary")
-    hot = answer(runs, _hot, "batch long, part long, hot binary")
+    runs = batches.ask(_anchors(batches.parts, block), "part long, batch long, low binary, block binary, several binary")
+    hot = answer(runs, batches.parts, _hot, "batch long, part long, hot binary")
     windows = batches.ask(
-        _windows(batches.n, window, block), "part long, batch long, one binary, two binary, least binary, several binary", ws.write(hot, "hot")
+        _windows(batches.parts, window, block), "part long, batch long, one binary, two binary, least binary, several binary", ws.write(hot, "hot")
     )
-    told = ws.write(answer(windows, _least, "batch long, one binary, two binary, first binary"), "told")
+    told = ws.write(answer(windows, batches.parts, _least, "batch long, one binary, two binary, first binary"), "told")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     result = ws.write(batches.ask(_removal(window, with_text), schema, told), "result")
     ws.keep_only("result")
