@@ -4,10 +4,10 @@ A window is 13 consecutive words of a benchmark item (all words of a shorter ite
 Both sides keep one fingerprint for each window: the least hash of its 9-word runs.
 Equal windows have equal fingerprints, so joining the fingerprints of documents with
 those of the benchmark finds every shared span of 13 words or more; each hit is then
-extended to its 13 words and compared word by word, so hashes never decide a result.
+extended to its 13 words and compared byte by byte, so hashes never decide a result.
 
-The benchmark is dealt into blocks of a bounded size; each block is broadcast for one
-pass over the documents, and a pass carries what earlier blocks found. A usual benchmark
+The benchmark is dealt into blocks of a bounded size; each block is broadcast, as sorted
+arrays of some 45 bytes a window beside its text, for one pass over the documents, and a pass carries what earlier blocks found. A usual benchmark
 is one block. Documents are never shuffled.
 """
 
@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessellar.llm.wordstream import ALNUM, LOWER_AZ, binaries, cover, run_hashes, runs_inside, slices
+from tessellar.llm.exchange import found_in
+from tessellar.llm.wordstream import ALNUM, LOWER_AZ, Words, binaries, cover, run_hashes, runs_inside, slices
 from tessellar.llm.workspace import Workspace
 
 WINDOW, GRAM = 13, 9
-#: Bytes of benchmark text that one pass broadcasts.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text that one pass broadcasts as some eight times as many of index.
+BLOCK_BYTES = 16 << 20
 #: Bytes of documents that are worked on at once.
 STEP_BYTES = 4 << 20
 
@@ -38,63 +39,93 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TO_WORDS).split()
 
 
+class _Windows:
+    """Distinct windows of one length: hashes, where one of each is in the text, whose they are, fingerprints.
+
+    Some 45 bytes a window: two hashes, a place, the bounds and members of its list of items, a
+    fingerprint, and two bytes of bits that tell most fingerprints apart without a search.
+    """
+
+    def __init__(self, hashed: np.ndarray, start: np.ndarray, place: np.ndarray, item: np.ndarray, length: int, gram: int):
+        self.length, self.gram = length, min(gram, length)
+        one, two = (run_hashes(hashed, length, seed)[start] for seed in (0, 1))
+        order = np.lexsort((item, two, one))
+        one, two, item = one[order], two[order], item[order].astype(np.int32)
+        new = np.ones(len(one), bool)
+        new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+        begin = np.flatnonzero(new)
+        self.one, self.two, self.place = one[begin], two[begin], place[order][begin]
+        mine = new.copy()
+        mine[1:] |= item[1:] != item[:-1]
+        self.item = item[mine]
+        self.bounds = np.append(np.cumsum(mine)[begin] - 1, len(self.item)).astype(np.int32)
+        self.prints = np.unique(self.least(hashed, start))
+        self.mask = np.uint64((1 << max(16, (16 * len(self.prints)).bit_length())) - 1)
+        slot = self.prints & self.mask
+        self.bits = np.zeros((int(self.mask) + 1) // 8, np.uint8)
+        np.bitwise_or.at(self.bits, (slot >> np.uint64(3)).astype(np.int64), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
+
+    def least(self, hashed: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The fingerprint of each window: the least hash of its runs of ``gram`` words."""
+        run = run_hashes(hashed, self.gram)
+        least = run[start]
+        for j in range(1, self.length - self.gram + 1):
+            np.minimum(least, run[start + j], out=least)
+        return least
+
+    def probable(self, hashed: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Of windows of documents, those whose fingerprint and first hash some window here has."""
+        least = self.least(hashed, start)
+        slot = least & self.mask
+        start = start[(self.bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        # one hash of the whole window in place of the fingerprint's list of windows
+        return start[found_in(run_hashes(hashed, self.length)[start], self.one)[0]]
+
+
 class Fingerprints:
-    """One block of the benchmark: its windows, exactly, and their fingerprints."""
+    """One block of the benchmark: its windows, exactly, and their fingerprints, in sorted arrays."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW, gram: int = GRAM):
-        self.window, self.gram = window, gram
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[bytes, set[str]] = {}
-        number = self.vocabulary
-        for item, text in items:
-            ids = np.array([number.setdefault(w, len(number) + 1) for w in words_of(text)], np.int32)
-            for at in range(max(1, len(ids) - window + 1) if len(ids) else 0):
-                windows.setdefault(ids[at : at + window].tobytes(), set()).add(item)
-        self.items = {w: sorted(found) for w, found in windows.items()}
-        by_length: dict[int, list[bytes]] = {}
-        for w in windows:
-            by_length.setdefault(len(w) // 4, []).append(w)
-        self.prints = {
-            n: np.unique(self.fingerprints(np.frombuffer(b"".join(ws), np.int32), n, np.arange(len(ws)) * n))
-            for n, ws in by_length.items()
-        }
-
-    def fingerprints(self, ids: np.ndarray, length: int, start: np.ndarray) -> np.ndarray:
-        """The least hash of the runs of ``gram`` words in each window (of all its words, if fewer)."""
-        gram = min(self.gram, length)
-        codes = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        hashed = run_hashes(codes, gram)
-        least = hashed[start]
-        for j in range(1, length - gram + 1):
-            np.minimum(least, hashed[start + j], out=least)
-        return least
+        texts = [b" ".join(words_of(text)) for _, text in items]
+        words = Words(texts)
+        hashed, first, size = words.hashes(), words.first, np.diff(words.first)
+        names, owner = np.unique(np.array([item for item, _ in items], object), return_inverse=True) if items else ([], np.zeros(0, np.int64))
+        self.names, self.text = list(names), words.buffer
+        of_word = owner[words.text_of_word()] if items else owner
+        self.lengths: list[_Windows] = []
+        for n in sorted({min(int(k), window) for k in size if k}):
+            start = np.flatnonzero(runs_inside(first, n)) if n == window else first[:-1][size == n]
+            self.lengths.append(_Windows(hashed, start, words.start[start], of_word[start], n, gram))
+
+    def items_of(self, windows: _Windows, one: np.uint64, text: bytes) -> np.ndarray:
+        """Numbers of the items that have this window, compared byte by byte."""
+        at = int(np.searchsorted(windows.one, one))
+        while at < len(windows.one) and windows.one[at] == one:
+            place = int(windows.place[at])
+            if self.text.startswith(text, place) and self.text[place + len(text)] in b" \n":
+                return windows.item[windows.bounds[at] : windows.bounds[at + 1]]
+            at += 1
+        return windows.item[:0]
 
     def hits(self, texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, set[str]]]:
         """For each text: its number of words, which are hit, and the items with occurring windows."""
-        get = self.vocabulary.get
-        ids_of = [np.array([get(w, 0) for w in words_of(t)], np.int32) for t in texts]
-        first = np.concatenate([[0], np.cumsum([len(x) for x in ids_of])]).astype(np.int64)
-        ids = np.concatenate([*ids_of, np.empty(0, np.int32)])
-        hit = np.zeros(len(ids), bool)
-        found: dict[int, set[str]] = {}
-        unknown = np.concatenate([[0], np.cumsum(ids == 0)])
-        for length, prints in self.prints.items():
-            inside = runs_inside(first, length)
-            start = np.flatnonzero(inside & (unknown[length:] == unknown[: len(unknown) - length])) if len(inside) else []
-            if not len(start):
-                continue
-            mine = self.fingerprints(ids, length, start)
-            at = np.minimum(np.searchsorted(prints, mine), len(prints) - 1)
-            start = start[prints[at] == mine]
+        words = Words(texts, ALNUM, lower=True)
+        hashed, first = words.hashes(), words.first
+        hit = np.zeros(len(hashed), bool)
+        found: dict[int, set[int]] = {}
+        for windows in self.lengths:
+            n = windows.length
+            start = windows.probable(hashed, np.flatnonzero(runs_inside(first, n)))
+            keys = run_hashes(hashed, n)[start]
             real = []
-            for s, doc in zip(start.tolist(), (np.searchsorted(first, start, "right") - 1).tolist(), strict=True):
-                items = self.items.get(ids[s : s + length].tobytes())
-                if items:
+            for s, key, doc in zip(start.tolist(), keys, (np.searchsorted(first, start, "right") - 1).tolist(), strict=True):
+                items = self.items_of(windows, key, b" ".join(words.bytes_of(i) for i in range(s, s + n)))
+                if len(items):
                     real.append(s)
-                    found.setdefault(doc, set()).update(items)
-            hit |= cover(np.array(real, np.int64), length, len(ids))
+                    found.setdefault(doc, set()).update(items.tolist())
+            hit |= cover(np.array(real, np.int64), n, len(hashed))
         for i in range(len(texts)):
-            yield int(first[i + 1] - first[i]), hit[first[i] : first[i + 1]], found.get(i, set())
+            yield int(first[i + 1] - first[i]), hit[first[i] : first[i + 1]], {self.names[k] for k in found.get(i, ())}
 
 
 def _spans(hit: np.ndarray) -> list[int]:

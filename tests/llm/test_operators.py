@@ -156,6 +156,23 @@ def test_decontamination(spark, corpus, block_bytes):
     assert found == brute.contamination(docs, items)
 
 
+def test_decontamination_index_is_compact():
+    """A large benchmark: some 45 bytes a window beside the text, and every window is found."""
+    import pickle
+
+    from tessellar.llm.decontaminate import Fingerprints
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(20_000)]
+    items = [(str(i), " ".join(rng.choices(words, k=200)).encode()) for i in range(2000)]
+    index = Fingerprints(items)
+    windows, size = 2000 * 188, sum(len(t) for _, t in items)
+    assert len(pickle.dumps(index)) < size + 50 * windows
+    text = b" ".join([b"before", *items[77][1].split()[40:60], b"after", *items[5][1].split()[:13], *items[6][1].split()[:12]])
+    ((n, hit, found),) = index.hits([text])
+    assert (n, int(hit.sum()), found) == (47, 33, {"77", "5"})
+
+
 @pytest.mark.parametrize("batch_bytes", [1 << 20, 2000])
 def test_substring_dedup(spark, corpus, batch_bytes):
     rows = substring_dedup(frame(spark, corpus[0]), Workspace(spark, "t4"), batch_bytes=batch_bytes, with_text=True)
