@@ -56,5 +56,46 @@ def claim_support(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (grounded_replies, answer_scores, sentence_units, claim_support)}
-SQL: dict[str, str] = {}
+def _customer_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """A passage of three sentences for each customer."""
+    where = F.concat(F.lit("Customer number "), "c_custkey", F.lit(" lives in nation "), "c_nationkey", F.lit("."))
+    segment = F.concat(F.lit("Segment of the customer is "), "c_mktsegment", F.lit("."))
+    rows = spark.read.parquet(f"{sf}/customer.parquet")
+    return rows.select(F.col("c_custkey").alias("qid"), "c_mktsegment", where.alias("place"), segment.alias("segment"))
+
+
+def cited_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """What is marked in each customer's passage: a quote over a sentence's end where the answer brings
+    one, else the sentence most like the claim."""
+    notes = _customer_notes(spark, sf)
+    quoted = F.concat(F.lit('It says so [1].\n\nQUOTES:\n[1] "customer is '), "c_mktsegment", F.lit('. Nothing  else"'))
+    matched = F.concat(F.lit("No doubt. The segment of this customer is "), "c_mktsegment", F.lit(" [1]."))
+    answers_ = notes.select("qid", F.when(F.col("qid") % 2 == 1, quoted).otherwise(matched).alias("raw"))
+    passages = notes.select("qid", F.lit(1).alias("n"), F.concat_ws(" ", "place", "segment", F.lit("Nothing else is known here.")).alias("text"))
+    found = grounding.ground(answers_, passages)
+    return found.select("qid", "n", "source", F.array_join("starts", ",").alias("starts"), F.array_join("ends", ",").alias("ends"))
+
+
+def answer_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of a right answer, a wrong one and none, for each third of the customers."""
+    notes = _customer_notes(spark, sf)
+    right = F.concat(F.lit("Segment of the customer is "), "c_mktsegment", F.lit(" [2]."))
+    wrong = F.lit("Unknown wholly different matters [1]. More follows.")
+    answer = F.when(F.col("qid") % 3 == 0, right).when(F.col("qid") % 3 == 1, wrong).otherwise("")
+    return answers.score_answers(
+        notes.select("qid", answer.alias("answer"), F.array("place", "segment").alias("passages"), F.array("c_mktsegment").alias("facts"), F.array("c_mktsegment").alias("expected"))
+    )
+
+
+QUERIES = {f.__name__: f for f in (grounded_replies, answer_scores, sentence_units, claim_support, cited_quotes, answer_checks)}
+
+SQL = {
+    "cited_quotes": """WITH c AS (SELECT c_custkey AS qid, c_mktsegment AS s, length('Customer number ' || c_custkey || ' lives in nation ' || c_nationkey || '.') + 1 AS b FROM customer)
+SELECT qid, 1 AS n, CASE WHEN qid % 2 = 1 THEN 'model' ELSE 'matcher' END AS source,
+  CAST(CASE WHEN qid % 2 = 1 THEN b + length('Segment of the ') ELSE b END AS VARCHAR) AS starts,
+  CAST(b + length('Segment of the customer is ' || s || '.') + CASE WHEN qid % 2 = 1 THEN length(' Nothing else') ELSE 0 END AS VARCHAR) AS ends FROM c""",
+    "answer_checks": """SELECT c_custkey AS qid, CAST(k = 0 AS INT)::DOUBLE AS faithfulness, CAST(k < 2 AS INT) AS cited_claims, CAST(k = 0 AS INT) AS grounded,
+  CAST(k < 2 AS INT)::DOUBLE AS citation_precision, CAST(k = 0 AS INT)::DOUBLE AS relevancy, CAST(k = 0 AS INT)::DOUBLE AS substance, CAST(k = 0 AS INT)::DOUBLE AS verbatim,
+  ['complete', 'missed', 'refused'][k + 1] AS kind, CASE WHEN k = 0 THEN 'exact' ELSE 'none' END AS key, CAST(k = 1 AS INT) AS uncited
+FROM (SELECT c_custkey, c_custkey % 3 AS k FROM customer)""",
+}

@@ -60,7 +60,7 @@ def test_pages_merge(spark):
 
 def test_sql_functions(spark):
     names = register_all(spark)
-    assert names == ["ts_chunk_spans", "ts_fold", "ts_sentences", "ts_numeric_heavy"]
+    assert names == ["ts_chunk_spans", "ts_fold", "ts_sentences", "ts_numeric_heavy", "ts_tokens", "ts_content_terms"]
     row = spark.sql("SELECT ts_chunk_spans('a b c d', 3, 0) s, ts_fold('ﬁx  it') f, ts_sentences('One. Two.') t, ts_numeric_heavy('12345678 90') n").first()
     assert [tuple(x) for x in row.s] == [(0, 1), (2, 3), (4, 5), (6, 7)] or row.s[0].start == 0
     assert (row.f, [tuple(x) for x in row.t], row.n) == ("fix it", [(0, 4), (5, 9)], True)
@@ -91,3 +91,16 @@ def test_multi_block(spark):
     rows = [(1, 0, "A", "alpha beta"), (1, 1, "b", "gamma delta"), (1, 2, "a", "alpha beta"), (2, 0, "x", "alpha")]
     got = gold.multi_block(spark.createDataFrame(rows, "doc_id long, pos int, answer string, text string")).collect()
     assert sorted((r.pos_a, r.pos_b) for r in got) == [(0, 1), (1, 2)]
+
+
+def test_sql_tokens_are_those_of_the_columns(spark, sf):
+    from tessellar.functions import sql
+    from tessellar.functions.text import content_terms, tokens
+
+    assert {"ts_tokens", "ts_content_terms"} <= set(sql.register_all(spark))
+    extra = spark.createDataFrame([("the HTTPServer parse_json camelCase x 1,200.5 3abc",)], "text string")
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("text").unionByName(extra)
+    both = rows.select(
+        tokens(F.col("text")) != F.expr("ts_tokens(text)"), content_terms(F.col("text")) != F.expr("ts_content_terms(text)")
+    ).toDF("a", "b")
+    assert both.where("a OR b").count() == 0
