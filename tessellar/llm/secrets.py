@@ -166,10 +166,12 @@ def scan_secrets(
     shared = texts.mapInArrow(rows_where(True), "sha string, text string").groupBy("sha").agg(F.first("text").alias("text"))
     unseen = state.where(F.col("seen").isNull()).select("sha")
     ledger.append(shared.join(unseen.hint("merge"), "sha", "left_semi").mapInArrow(_scan_batches, FINDINGS))
-    ws.keep_only("paths")
+    # a row for each blob of this run, written: the join that follows is between two plain exchanges
+    found = ws.write(state.select("sha").hint("merge").join(ledger.read(), "sha"), "found")
+    ws.keep_only("paths", "found")
     return (
         paths.hint("merge")
-        .join(ledger.read(), "sha")
+        .join(found, "sha")
         .select("doc_id", *(["version"] if version_col else []), F.col("sha").alias("sha256"), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
     )
 
