@@ -63,7 +63,7 @@ class _Subwords:
     def buckets(self, n: int, hashed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of the n-grams at each place; ``hashed``: from n - 1, so that sizes build on each other."""
         total = np.zeros(len(self.code), np.uint32) if hashed is None else hashed
-        for j in range(0 if hashed is None else n - 1, n):
+        for j in range(0 if hashed is None else n - 1, min(n, len(total))):
             total[: len(total) - j] += self.code[j:] * _FACTORS[j]
         spread = (total ^ (total >> np.uint32(15))) * np.uint32(0x85EBCA6B) + np.uint32(n * 0x9E3779B1 % (1 << 32))
         return (spread * np.uint32(0xC2B2AE35)) >> np.uint32(32 - BUCKET_BITS), total
@@ -124,9 +124,9 @@ class Toxicity:
 
 
 def _constant(toxic: np.ndarray, importance: np.ndarray) -> Toxicity:
-    """Where no label or only one is known: the share of toxic documents, for every text."""
+    """Where no label or only one is known, nothing tells texts apart: one score for all, that rejects none."""
     share = float(np.average(toxic, weights=importance)) if len(toxic) else 0.0
-    share = min(max(share, 1e-6), 1 - 1e-6)
+    share = min(max(share, 1e-6), 0.49)
     return Toxicity(np.zeros(1 << BUCKET_BITS, np.float32), float(np.log(share / (1 - share))))
 
 
@@ -208,7 +208,7 @@ def train_on(
     Defined cases: rows without id or label, and labels other than 0 and 1, are not used;
     a document that any row calls toxic is toxic; of repeated documents the least text is
     used; a labelled id without a document adds nothing; without both labels every text
-    scores the share of toxic ones.
+    scores the same, below 0.5 (0.49 if all known ones are toxic).
     """
     label = F.col(f"`{label_col}`").cast("int")
     usable = (

@@ -108,3 +108,11 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), model).count() == 0
     with pytest.raises(ValueError):
         url_filter.train(url_filter.labelled_urls(spark).limit(0))
+
+
+def test_shortest_texts_have_scores():
+    model = toxicity.train(
+        toxicity.np.array([0, 1]), toxicity.np.array([1, 1]), ["good", "bad"], toxicity.np.array([0.0, 1.0]), toxicity.np.ones(2)
+    )
+    for texts in ([""], ["a"], ["", ""], ["ab"], ["bad"]):
+        assert model.score(texts).tolist() == [model.score(["bad good words go on here", t])[1] for t in texts]
