@@ -169,21 +169,16 @@ def exact_dedup(
 
 def drop_exact_copies(docs: DataFrame, index: DigestIndex, ws: Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that stay; of rows equal in id and text, one."""
-    keep = (
-        exact_dedup(docs, index, ws, id_col, text_col)
-        .where("kept")
-        .select(F.unhex("text_sha256").alias("digest"), F.col("doc_id").alias("id"))
-    )
-    keyed = docs.select(
+    key = ["digest", "id", "no_id"]
+    named = lambda digest, row_id: (digest.alias("digest"), F.coalesce(row_id, F.lit(0)).alias("id"), row_id.isNull().alias("no_id"))
+    keep = exact_dedup(docs, index, ws, id_col, text_col).where("kept").select(*named(F.unhex("text_sha256"), F.col("doc_id")))
+    rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        text_digest(F.col(f"`{text_col}`")).alias("digest"),
-        F.col(f"`{id_col}`").cast("long").alias("id"),
-    )
-    # by digest and id: copies of one text, however many, are spread by their ids
-    stays = keyed.alias("k").join(
-        keep.alias("s").hint("merge"), (F.col("k.digest") == F.col("s.digest")) & F.col("k.id").eqNullSafe(F.col("s.id")), "left_semi"
+        *named(text_digest(F.col(f"`{text_col}`")), F.col(f"`{id_col}`").cast("long")),
     )
-    return stays.groupBy("digest", "id").agg(F.first("row").alias("row")).select("row.*")
+    # one exchange of whole rows serves both; copies of one text, however many, are spread by their ids
+    stays = rows.join(keep.hint("merge"), key, "left_semi")
+    return stays.groupBy(key).agg(F.first("row").alias("row")).select("row.*")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,3 +36,44 @@ def test_run_equals_the_stages(spark, sf):
         docs = ws.write(stage(spark, docs, sf), f"s{k}")
     parts = lambda d: sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in d.collect())
     assert parts(corpus_pipeline.run(spark, sf)) == parts(docs)
+
+
+NAMES = "lang source row key digest id no_id cls score items"
+SCHEMA = "doc_id long, text string, " + ", ".join(f"{n} string" for n in NAMES.split())
+
+
+def small_tables(spark, folder, rows, items=(), labels=()):
+    """Tables for the stages, with columns named like those the operators use inside."""
+    docs = spark.createDataFrame([(*r, *NAMES.split()) for r in rows], SCHEMA)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_empty_tables(spark, tmp_path):
+    folder = small_tables(spark, tmp_path, [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.count() == 0
+
+
+def test_nulls_repeats_and_no_labels(spark, tmp_path):
+    leaked = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, None), (2, ""), (None, None), (None, "only one"), (3, "Same text"), (4, "same TEXT"), (4, "same TEXT"), (5, leaked)]
+    folder = small_tables(spark, tmp_path, rows, [(1, leaked), (None, None), (2, "")], [(1, None, None), (None, 1, 1), (99, 0, 1)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = Workspace(spark, "t").write(stage(spark, docs, folder), f"e{k}")
+        assert docs.columns == ["doc_id", "text", *NAMES.split()]
+        assert [tuple(r)[2:] for r in docs.distinct().collect()][0] == tuple(NAMES.split())
+        kept.append(sorted(((r.doc_id, r.text) for r in docs.collect()), key=str))
+    by = lambda found: sorted(found, key=str)
+    assert kept[0] == by(rows)
+    assert kept[1] == kept[2] == by([(2, ""), (None, "only one"), (4, "same TEXT"), (5, leaked)])
+    assert kept[3] == by([(2, ""), (None, "only one"), (4, "same TEXT")])
+    pieces = corpus_pipeline.run(spark, folder)
+    assert sorted((r.doc_id for r in pieces.collect()), key=str) == by([2, None, 4])
