@@ -21,28 +21,49 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model, trained on ``labels``, does not reject."""
+    """Documents that the model, trained on ``labels``, does not reject.
+
+    A null text is scored as an empty one; equal texts share their verdict, repeated rows
+    stay repeated; without labels of both kinds nothing is rejected; no documents give none.
+    """
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (but for the case of A-Z), the one with the largest id."""
+    """Of equal texts (but for the case of A-Z), the one with the largest id.
+
+    A null text is an empty one; a null id loses against any; of rows equal in id and text
+    one stays; no documents give none.
+    """
     ws = Workspace(spark, "exact")
     return drop_exact_copies(docs, DigestIndex(spark, ws.path("index")), ws)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the one with the smallest id."""
+    """Of each group of near copies, the one with the smallest id.
+
+    Texts without words are linked with nothing and stay; rows without id stay only if
+    none of their group has one; rows that repeat an id share its verdict; no documents
+    give none.
+    """
     return drop_near_copies(docs, Workspace(spark, "near"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that ``benchmark`` does not make up a twentieth of."""
+    """Documents that ``benchmark`` does not make up a twentieth of.
+
+    Texts and items without words have no hits, so such documents stay, and all do without
+    items; repeated rows share their verdict; no documents give none.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Workspace(spark, "leaks"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents that are left, packed into sequences."""
+    """Pieces of all documents that are left, packed into sequences.
+
+    A null text is an empty one, of one id; repeated rows are packed each; no documents
+    give no pieces.
+    """
     return pack(docs, Workspace(spark, "packing"))
 
 
