@@ -7,9 +7,15 @@ that are NULL mean "not measured".
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessellar.work import delete, exists
 
 SCHEMAS = {
     "sessions": "id string, name string, is_default boolean, created_at timestamp, updated_at timestamp, session_id string",
@@ -36,8 +42,7 @@ class Store:
         self.spark, self.root = spark, root.rstrip("/")
 
     def _exists(self, table: str) -> bool:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return exists(self.spark, f"{self.root}/{table}")
 
     def read(self, table: str, session: str | None = None) -> DataFrame:
         """A table, or the partition of one session; columns a partition was written without are NULL."""
@@ -52,16 +57,40 @@ class Store:
 
     def _replace(self, table: str, session: str, rows: DataFrame) -> None:
         """Put ``rows`` in place of a session's partition. They may read it: they are staged first."""
-        staged = f"{self.root}/_staged/{table}"
+        staged = self._staged()
         columns = [f.name for f in self.read(table).schema]
-        rows.select(*columns).write.mode("overwrite").parquet(staged)
+        rows.select(*columns).write.parquet(staged)
         kept = self.spark.read.schema(SCHEMAS[table]).parquet(staged)
         if kept.isEmpty():
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/session_id={session}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-            return
-        writer = kept.write.option("partitionOverwriteMode", "dynamic").partitionBy("session_id")
-        writer.mode("overwrite").parquet(f"{self.root}/{table}")
+            delete(self.spark, f"{self.root}/{table}/session_id={session}")
+        else:
+            writer = kept.write.option("partitionOverwriteMode", "dynamic").partitionBy("session_id")
+            writer.mode("overwrite").parquet(f"{self.root}/{table}")
+        delete(self.spark, staged)
+
+    def _staged(self) -> str:
+        """A new folder for what one command writes before the tables change."""
+        return f"{self.root}/_staged/{uuid.uuid4().hex}"
+
+    def _numbered(self, chunks: DataFrame, staged: str) -> DataFrame:
+        """``chunks`` with ids after the largest, in order of source and position.
+
+        Only counts of sources are put in order, by ranges, and the sums of the ranges in
+        one task; a chunk's place is found among those of its own source. The counts are
+        in the folder ``staged``, which the caller deletes.
+        """
+        last = self.read("chunks").agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0]
+        counts = chunks.groupBy("source_id").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("source_id")
+        counts.withColumn("range", F.spark_partition_id()).write.parquet(staged)
+        counts = self.spark.read.parquet(staged)
+        ahead = W.rowsBetween(W.unboundedPreceding, -1)
+        sums = counts.groupBy("range").agg(F.sum("n").alias("n"))
+        starts = sums.select("range", F.coalesce(F.sum("n").over(ahead.orderBy("range")), F.lit(0)).alias("start"))
+        inside = F.coalesce(F.sum("n").over(ahead.partitionBy("range").orderBy("source_id")), F.lit(0))
+        # as many rows as shuffle partitions
+        first = counts.join(F.broadcast(starts), "range").select("source_id", (F.col("start") + inside + F.lit(last)).alias("first"))
+        place = F.row_number().over(W.partitionBy("source_id").orderBy("position"))
+        return chunks.join(first, "source_id").withColumn("chunk_id", F.col("first") + place).drop("first")
 
     # sessions
 
@@ -127,17 +156,18 @@ class Store:
         )
         counted = fresh.drop("chunk_count", "numeric_count").join(counts, fresh["id"] == counts["source_id"], "left").drop("source_id")
         counted = counted.fillna(0, ["chunk_count", "numeric_count"])
-        last = self.read("chunks").agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0]
-        place = F.row_number().over(W.orderBy("source_id", "position"))
-        self.append("chunks", own.withColumn("chunk_id", place + F.lit(last)))
+        staged = self._staged()
+        self.append("chunks", self._numbered(own, staged))
         self.append("sources", counted)
+        delete(self.spark, staged)
 
     def reindex(self, session: str, source: str, chunks: DataFrame) -> None:
         """New chunks for a source that keeps its id and time of creation."""
-        last = self.read("chunks").agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0]
-        fresh = chunks.withColumn("chunk_id", F.row_number().over(W.orderBy("position")) + F.lit(last))
+        staged = self._staged()
+        fresh = self._numbered(chunks, staged)
         others = self.read("chunks", session).where(F.col("source_id") != source)
         self._replace("chunks", session, others.unionByName(fresh.select(*others.columns)))
+        delete(self.spark, staged)
         counts = self.read("chunks", session).where(F.col("source_id") == source).agg(
             F.count(F.lit(1)).cast("int").alias("n"), F.count(F.when(F.col("numeric_heavy"), 1)).cast("int").alias("m")
         )
@@ -178,19 +208,27 @@ class Store:
 
     # messages and ledger
 
-    def add_message(self, session: str, role: str, content: str, citations: str | None = None, evidence: str | None = None) -> None:
+    def add_message(self, session: str, role: str, content: str, citations: object = None, evidence: object = None) -> None:
+        """One message; citations and evidence are JSON, or values to be written as JSON."""
         if role not in ("user", "assistant"):
             raise ValueError(f"role: {role}")
         last = self.read("messages").agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         text = lambda v: F.lit(v).cast("string")
+        as_json = lambda v: text(v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False))
         self.append(
             "messages",
             self.spark.range(1).select(
-                F.lit(last + 1).cast("long").alias("id"), text(role).alias("role"), text(content).alias("content"), text(citations).alias("citations"),
-                text(evidence).alias("evidence"), F.current_timestamp().alias("created_at"), text(session).alias("session_id"),
+                F.lit(last + 1).cast("long").alias("id"), text(role).alias("role"), text(content).alias("content"),
+                as_json(citations).alias("citations"), as_json(evidence).alias("evidence"), F.current_timestamp().alias("created_at"),
+                text(session).alias("session_id"),
             ),
         )
 
+    def add_messages(self, rows: DataFrame) -> None:
+        """Messages with their ids; citations and evidence of any nested type are written as JSON."""
+        nested = [c for c in ("citations", "evidence") if not isinstance(rows.schema[c].dataType, T.StringType)]
+        self.append("messages", rows.withColumns({c: F.to_json(c) for c in nested}))
+
     def clear_messages(self, session: str) -> None:
         self._replace("messages", session, self.read("messages", session).limit(0))
 

@@ -93,3 +93,27 @@ def test_stream_of_files_without_repeats(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
     got = streams.drained(streams.new_files(stream), "files", "append", str(tmp_path / "c")).collect()
     assert len(got) == 3 and {(r.session_id, bytes(r.content)) for r in got} == {("s", b"x"), ("t", b"x"), ("s", b"y")}
+
+
+def test_chunk_ids_follow_sources_and_positions(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    ids = [f"s{i:03d}" for i in range(60)]
+    store.add_sources(
+        sources(spark, [("x", s, s, s) for s in ids]), chunks(spark, [("x", s, p, f"{s} {p}", False) for s in ids[::-1] for p in range(3, -1, -1)])
+    )
+    found = store.read("chunks").orderBy("chunk_id").collect()
+    assert [r.chunk_id for r in found] == list(range(1, 241))
+    assert [(r.source_id, r.position) for r in found] == [(s, p) for s in ids for p in range(4)]
+    assert not any((tmp_path / "store" / "_staged").iterdir())
+
+
+def test_messages_hold_json(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    store.add_message("x", "user", "what?", evidence={"cost": {"prompt_tokens": 3}})
+    rows = spark.createDataFrame(
+        [(2, "assistant", "é [1]", [(1, "a")], {"k": 1.5}, None, "x"), (3, "assistant", "no", None, None, None, "x")],
+        "id long, role string, content string, citations array<struct<n: int, name: string>>, evidence map<string, double>, created_at timestamp, session_id string",
+    )
+    store.add_messages(rows)
+    found = [(r.citations, r.evidence) for r in store.read("messages", "x").orderBy("id").collect()]
+    assert found == [(None, '{"cost": {"prompt_tokens": 3}}'), ('[{"n":1,"name":"a"}]', '{"k":1.5}'), (None, None)]
