@@ -226,3 +226,27 @@ def intent(message: Column) -> Column:
         .otherwise("small_talk")
     )
     return F.coalesce(kind(_plain(text)), by_piece)
+
+
+# fixed values: replies to messages that ask nothing of the sources
+REPLIES = {
+    "greeting": (
+        "Hello. Ask me anything about this notebook's sources and I will answer from the passages, with the exact text cited. "
+        "Nothing I write here comes from outside your documents."
+    ),
+    "small_talk": "Any time. Ask me a question about these sources whenever you are ready.",
+    "assistant": (
+        "I am the research assistant for this notebook. I answer from the documents indexed here rather than from outside knowledge, "
+        "and I cite the passage behind each claim - add a document and ask me about it."
+    ),
+}
+EMPTY_REPLY = (
+    "This notebook has no sources yet, so there is nothing to answer from. Add a PDF, DOCX, Markdown or CSV file and I can answer "
+    "questions about it."
+)
+
+
+def reply_for(kind: Column) -> Column:
+    """The reply to a message of this kind without a search; to any other kind, that there are no sources."""
+    known = F.create_map(*[F.lit(x) for pair in REPLIES.items() for x in pair])
+    return F.coalesce(known[kind], F.lit(EMPTY_REPLY))

@@ -51,6 +51,11 @@ def intent_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return said.select("conv_id", "turn", "text").unionByName(more).select("conv_id", "turn", T.intent(F.col("text")).alias("kind"))
 
 
+def fixed_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages that are answered without a search, and all as they would be in an empty notebook."""
+    return intent_kinds(spark, sf).withColumn("reply", T.reply_for(F.col("kind")))
+
+
 def block_offsets(spark: SparkSession, sf: str) -> DataFrame:
     """Where each line would begin and end if lines were blocks joined by an empty line."""
     lines = _docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
@@ -111,7 +116,7 @@ def citation_check(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        occurrence_count, occurrences_by_source, url_dedupe, injection_scan, intent_kinds, block_offsets, chunk_stats_by_source, exact_duplicates,
+        occurrence_count, occurrences_by_source, url_dedupe, injection_scan, intent_kinds, fixed_replies, block_offsets, chunk_stats_by_source, exact_duplicates,
         clean_text, utf16_lengths, log_events, citation_check,
     )
 }
@@ -170,3 +175,5 @@ FROM (SELECT source, coalesce(text, '') AS text FROM documents) GROUP BY source"
 SELECT conv_id, turn, array_to_string(cited, ',') AS cited, array_to_string(list_sort(list_distinct(list_filter(cited, lambda n: n BETWEEN 1 AND 10))), ',') AS valid,
   array_to_string(list_sort(list_distinct(list_filter(cited, lambda n: n NOT BETWEEN 1 AND 10))), ',') AS invalid FROM c""",
 }
+_REPLY = " ".join(f"WHEN '{k}' THEN '{r.replace(chr(39), chr(39) * 2)}'" for k, r in T.REPLIES.items())
+SQL["fixed_replies"] = f"SELECT conv_id, turn, kind, CASE kind {_REPLY} ELSE '{T.EMPTY_REPLY}' END AS reply FROM ({SQL['intent_kinds']})"
