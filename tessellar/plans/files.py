@@ -96,8 +96,8 @@ def prose_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def table_spans(spark: SparkSession, sf: str) -> DataFrame:
-    """Windows over a table of numbers for each supplier: whole lines."""
-    line = F.concat_ws(" ", "l_orderkey", "l_partkey", "l_linenumber")
+    """Windows over a table of numbers for each supplier: whole lines, all long enough to count as numeric at any scale."""
+    line = F.concat_ws(" ", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), "l_partkey", "l_linenumber")
     items = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").alias("doc_id"), line.alias("line"))
     texts = items.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))
     return _spans_of(texts, DEFAULTS.chunk_size, DEFAULTS.chunk_overlap)
@@ -170,7 +170,7 @@ s AS (
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end") - 1 AS n, CAST(start AS BIGINT) AS start, CAST("end" AS BIGINT) AS "end" FROM s""",
     "table_spans": f"""WITH RECURSIVE lines AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i, line
-  FROM (SELECT l_suppkey AS doc_id, concat_ws(' ', l_orderkey, l_partkey, l_linenumber) AS line FROM lineitem)
+  FROM (SELECT l_suppkey AS doc_id, concat_ws(' ', lpad(CAST(l_orderkey AS VARCHAR), 12, '0'), l_partkey, l_linenumber) AS line FROM lineitem)
 ), placed AS (
   SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(line) - 1 AS a, sum(length(line) + 1) OVER (PARTITION BY doc_id) - 1 AS total FROM lines
 ), pack AS (
