@@ -11,8 +11,7 @@ from tessellar.work import spread
 
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     pages = spread(spark.read.parquet(f"{sf}/pages.parquet"))
-    files = pages.select(F.col("page_id").alias("doc_id"), F.lit("page.html").alias("path"), F.col("html").cast("binary").alias("content"))
-    return parsers.read_files(files)
+    return pages.select(F.col("page_id").alias("doc_id"), F.lit("page.html").alias("path"), F.col("html").cast("binary").alias("content"))
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,11 +21,11 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return _pages(spark, sf)
+    return parsers.read_files(_pages(spark, sf))
 
 
 def page_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunk_blocks(chunking.with_offsets(_pages(spark, sf).where("status = 'ok'")))
+    return parsers.read_chunks(_pages(spark, sf))
 
 
 def document_chunks(spark: SparkSession, sf: str) -> DataFrame:
