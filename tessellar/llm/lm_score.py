@@ -12,7 +12,8 @@ thing that is broadcast, with a bound. Above that, the trie is spread by the las
 symbols of a context, so that everything below such a node meets in one task: batches
 ask for the distinct predictions in their texts and get back what each one costs. Counts
 of words for the base score are asked for in the same way. Nothing that grows with the
-corpus is gathered in one place.
+corpus is gathered in one place. What a task works out for each byte or key is made and let
+go in steps of a bounded size, so that a worker holds little more than a batch and its answers.
 
 Passes over the batches: words; cells; predictions; scores.
 """
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessellar.llm.exchange import BATCH_BYTES, Batches, answer, cut, grouped, joined
+from tessellar.llm.exchange import BATCH_BYTES, Batches, answer, cut, found_in, grouped, joined
 from tessellar.llm.wordstream import LOWER_AZ, SPACED, Words, binaries, mix64, slices
 from tessellar.llm.workspace import Workspace
 
@@ -37,8 +38,8 @@ FOLDS, HELD_OUT_FOLD = 7, 2
 SYMBOLS, DENSE_ORDER, SPREAD_ORDER, ORDER = 231, 2, 3, 5
 #: The edge, and what stands for a capital letter: outside the alphabet, in no text.
 EDGE, RARE = 0, 255
-#: Bytes of text whose predictions are worked on at once.
-STEP_BYTES = 2 << 20
+#: Bytes of text whose words or predictions are worked on at once, and predictions that are priced at once.
+STEP_BYTES, STEP_KEYS = 1 << 20, 1 << 17
 _DIGIT = np.uint64(8)
 
 
@@ -52,24 +53,36 @@ def _in_training(table: pa.Table) -> np.ndarray:
 
 
 class _Tokens:
-    """The words of a batch's texts and, sorted, the distinct ones."""
+    """The words of a batch's texts: the distinct ones, sorted (``distinct``), how many each text has (``in_text``)."""
 
     def __init__(self, texts: list[bytes]):
-        self.words = Words(texts, SPACED, lower=True)
-        hashed = self.words.hashes()
-        order, begin = grouped(hashed)
-        self.distinct = hashed[order][begin]
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(order))))
+        self.parts: list[tuple[int, int, np.ndarray]] = []
+        found, in_text = [], [np.empty(0, np.int64)]
+        for lo, hi in slices(texts, STEP_BYTES):
+            words = Words(texts[lo:hi], SPACED, lower=True)
+            code, own = pd.factorize(words.hashes())
+            self.parts.append((lo, hi, code.astype(np.int32)))
+            found.append(own)
+            in_text.append(np.diff(words.first))
+        self.in_text = np.concatenate(in_text)
+        self.distinct = np.unique(np.concatenate([np.empty(0, np.uint64), *found]))
+        self.places = [np.searchsorted(self.distinct, own) for own in found]
+
+    def each(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """By steps: a range of texts, for each of its words the text, and the place among the distinct ones."""
+        for (lo, hi, code), place in zip(self.parts, self.places, strict=True):
+            yield lo, hi, np.repeat(np.arange(hi - lo), self.in_text[lo:hi]), place[code]
 
 
 def _ask_words(parts: int) -> Callable[[pa.Table], pa.Table]:
     def ask(table: pa.Table) -> pa.Table:
         texts, training = binaries(table["text"]), _in_training(table)
         tokens = _Tokens(texts)
-        learned = training[tokens.words.text_of_word()]
-        count = np.bincount(tokens.place[learned], minlength=len(tokens.distinct)).astype(np.uint32)
         key = tokens.distinct
+        count = np.zeros(len(key), np.uint32)
+        for lo, hi, text, place in tokens.each():
+            at, n = np.unique(place[training[lo:hi][text]], return_counts=True)
+            count[at] += n.astype(np.uint32)
         return cut(
             key,
             parts,
@@ -136,10 +149,15 @@ def _predictions(coded: np.ndarray, place: np.ndarray) -> np.ndarray:
     n = len(coded) - ORDER
     key = np.zeros(n, np.uint64)
     for j in range(1, ORDER + 1):
-        key = (key << _DIGIT) | coded[ORDER - j : ORDER - j + n]
-    near = key >> np.uint64(8 * (ORDER - SPREAD_ORDER))
-    key = (key << _DIGIT) | coded[ORDER:]
-    return ((mix64(near) >> np.uint64(48)) << np.uint64(48) | key)[place - ORDER]
+        key <<= _DIGIT
+        key |= coded[ORDER - j : ORDER - j + n]
+    near = mix64(key >> np.uint64(8 * (ORDER - SPREAD_ORDER)))
+    near >>= np.uint64(48)
+    near <<= np.uint64(48)
+    key <<= _DIGIT
+    key |= coded[ORDER:]
+    key |= near
+    return key[place - ORDER]
 
 
 def _count_cells(symbol: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -161,19 +179,28 @@ def _count_cells(symbol: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return count
 
 
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and the sum of each one's counts."""
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order, begin = grouped(key)
+    total = np.add.reduceat(count[order], begin, dtype=np.uint32) if len(begin) else count
+    return key[order[begin]], total
+
+
 def _ask_predictions(parts: int, symbol: np.ndarray) -> Callable[[pa.Table], pa.Table]:
     def ask(table: pa.Table) -> pa.Table:
         texts, training = binaries(table["text"]), _in_training(table)
-        keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        key, count, keys, counts, waiting = np.empty(0, np.uint64), np.empty(0, np.uint32), [], [], 0
         for lo, hi in slices(texts, STEP_BYTES):
             coded, place, begin = _coded(texts[lo:hi], symbol)
             code, distinct = pd.factorize(_predictions(coded, place))
             keys.append(distinct)
-            counts.append(np.bincount(code[np.repeat(training[lo:hi], np.diff(begin))], minlength=len(distinct)))
-        key, count = np.concatenate(keys), np.concatenate(counts)
-        order, begin = grouped(key)
-        key = key[order][begin]
-        count = (np.add.reduceat(count[order], begin) if len(begin) else count).astype(np.uint32)
+            counts.append(np.bincount(code[np.repeat(training[lo:hi], np.diff(begin))], minlength=len(distinct)).astype(np.uint32))
+            waiting += len(distinct)
+            # the distinct keys of some steps are merged as soon as they are as many as those of all steps before
+            if waiting >= max(len(key), 2 * STEP_KEYS) or hi == len(texts):
+                key, count = _merged([key, *keys], [count, *counts])
+                keys, counts, waiting = [], [], 0
         return cut(
             key,
             parts,
@@ -200,8 +227,25 @@ def costs(key: np.ndarray, n: np.ndarray, model: PartialMatching) -> np.ndarray:
     """log10 of the probability of each prediction.
 
     ``key``: sorted and distinct, all that begin with their last three symbols; ``n``: how
-    often each occurs in training; ``model``: the table of orders 0 to 2.
+    often each occurs in training; ``model``: the table of orders 0 to 2. Those of the same
+    last three symbols are priced together, and as many of them at once as are in a step.
     """
+    out = np.empty(len(key), np.float32)
+    near = key >> np.uint64(8 * (ORDER + 1 - SPREAD_ORDER))
+    lo = 0
+    while lo < len(key):
+        hi = len(key)
+        if hi - lo > STEP_KEYS:
+            # up to the last key before which three other symbols end; if one node fills the step, to the node's end
+            hi = int(np.searchsorted(near, near[lo + STEP_KEYS]))
+            if hi <= lo:
+                hi = int(np.searchsorted(near, near[lo], "right"))
+        out[lo:hi] = _costs(key[lo:hi], n[lo:hi], model)
+        lo = hi
+    return out
+
+
+def _costs(key: np.ndarray, n: np.ndarray, model: PartialMatching) -> np.ndarray:
     sym = key & np.uint64(255)
     n = n.astype(np.float64)
     # contexts of 5, 4 and 3 symbols (5 first); for each, its counts, and its predictions' counts
@@ -227,11 +271,11 @@ def costs(key: np.ndarray, n: np.ndarray, model: PartialMatching) -> np.ndarray:
     two = [((near >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64) for k in range(SPREAD_ORDER - DENSE_ORDER, SPREAD_ORDER)]
     node = two[0] * SYMBOLS + two[1]
     cell = node * SYMBOLS + sym.astype(np.int64)
-    counts, totals, kinds, shares = model.table()
+    seen, totals, kinds = model.seen(cell)
     context.append(near >> _DIGIT)
-    count.append(counts[cell].astype(np.float64))
-    total.append(totals[node])
-    distinct.append(kinds[node])
+    count.append(seen)
+    total.append(totals)
+    distinct.append(kinds)
     left, cost, open_ = np.ones(len(key)), np.zeros(len(key)), np.ones(len(key), bool)
     for drop, c in enumerate(context):
         t, d = total[drop], distinct[drop]
@@ -250,7 +294,7 @@ def costs(key: np.ndarray, n: np.ndarray, model: PartialMatching) -> np.ndarray:
         open_ &= ~found
         left = left * _escape(t, d)
     # the table's share of an unseen symbol holds the escape from the whole context of two
-    cost[open_] = np.log10(left[open_] / _escape(total[-1], distinct[-1])[open_]) + shares[cell[open_]]
+    cost[open_] = np.log10(left[open_] / _escape(total[-1], distinct[-1])[open_]) + model.share(cell[open_])
     return cost.astype(np.float32)
 
 
@@ -272,41 +316,60 @@ def _answer_predictions(model) -> Callable[[pa.Table], pa.Table]:
 
 
 class PartialMatching:
-    """Orders 0 to 2, from the counts of all cells."""
+    """Orders 0 to 2, from the counts of all cells that are seen."""
 
     def __init__(self, cell: np.ndarray, n: np.ndarray):
-        self.cell, self.n, self._table = cell, n, None
+        order = np.argsort(cell)
+        self.cell, self.n, self._sums = cell[order], n[order], None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_table": None}
+        return self.__dict__ | {"_sums": None}
 
-    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The count of each cell; the sum and the number of symbols seen of each context of two; and of each
-        cell log10 of the probability of its symbol. Made once in each process that needs them."""
-        if self._table is None:
+    def _made(self) -> tuple[np.ndarray, ...]:
+        """Of contexts of two, one and no symbols the sums and numbers of symbols seen, without those that longer
+        contexts had; at most 231^2 of each, made once in each process that needs them."""
+        if self._sums is None:
             s = SYMBOLS
-            counts = np.zeros(s ** (DENSE_ORDER + 1), np.float32)
-            counts[self.cell] = self.n
-            counts = counts.reshape(s, s, s)
-            one = counts.sum(0, dtype=np.float64)
-            none = one.sum(0)
-            out = np.empty(counts.shape, np.float32)
-            for first in range(s):
-                left, share = np.ones((s, 1)), np.zeros((s, s))
-                ruled_out = np.zeros((s, s), bool)
-                for seen in (counts[first].astype(np.float64), one, none[None]):
-                    seen = np.broadcast_to(seen, share.shape)
-                    open_ = np.where(ruled_out, 0.0, seen)
-                    total, distinct = open_.sum(1, keepdims=True), (open_ > 0).sum(1, keepdims=True)
-                    share += left * open_ / np.maximum(total + distinct, 1)
-                    left = left * _escape(total, distinct)
-                    ruled_out = ruled_out | (seen > 0)
-                unseen = ~ruled_out
-                share += left * unseen / np.maximum(unseen.sum(1, keepdims=True), 1)
-                out[first] = np.log10(share)
-            totals, kinds = counts.sum(2, dtype=np.float64), (counts > 0).sum(2).astype(np.float64)
-            self._table = counts.ravel(), totals.ravel(), kinds.ravel(), out.ravel()
-        return self._table
+            cell, n = self.cell.astype(np.int64), self.n.astype(np.float64)
+            node, after = cell // s, cell % (s * s)
+            one = np.bincount(after, n, s * s)
+            none = one.reshape(s, s).sum(0)
+            two = [np.bincount(node, x, s * s) for x in (n, np.ones(len(n)))]
+            per = [np.tile(x.reshape(s, s).sum(1), s) for x in (one, one > 0)]
+            # of each context of two: what the context of one has seen and it has not
+            fewer = [x - np.bincount(node, y, s * s) for x, y in zip(per, (one[after], np.ones(len(n))), strict=True)]
+            # of each context of one: what is seen at all and not there
+            rest = [(x * (one.reshape(s, s) == 0)).sum(1) for x in (none, (none > 0).astype(np.float64))]
+            self._sums = *two, *fewer, *rest, one, none
+        return self._sums
+
+    def _counts(self, cell: np.ndarray) -> np.ndarray:
+        found, at = found_in(cell, self.cell)
+        count = np.zeros(len(cell))
+        count[found] = self.n[at[found]]
+        return count
+
+    def seen(self, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The count of each cell; the sum and the number of symbols seen of its context of two."""
+        total, distinct = self._made()[:2]
+        return self._counts(cell), total[cell // SYMBOLS], distinct[cell // SYMBOLS]
+
+    def share(self, cell: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each cell's symbol, in single precision."""
+        s = SYMBOLS
+        total2, kinds2, total1, kinds1, total0, kinds0, one, none = self._made()
+        node, last = cell // s, cell // s % s
+        left, share, open_ = np.ones(len(cell)), np.zeros(len(cell)), np.ones(len(cell), bool)
+        for count, total, distinct in (
+            (self._counts(cell), total2[node], kinds2[node]),
+            (one[cell % (s * s)], total1[node], kinds1[node]),
+            (none[cell % s], total0[last], kinds0[last]),
+        ):
+            share += left * np.where(open_, count, 0.0) / np.maximum(total + distinct, 1)
+            left = left * _escape(total, distinct)
+            open_ &= count == 0
+        share += left * open_ / max(int((none == 0).sum()), 1)
+        return np.log10(share).astype(np.float32)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -322,19 +385,20 @@ def _score(symbol: np.ndarray, tokens: int, distinct: int, ends: int) -> Callabl
     def score(table: pa.Table, told: pa.Table) -> pa.Table:
         texts, training = binaries(table["text"]), _in_training(table)
         own = _Tokens(texts)
-        count = _told(told, "word_counts", np.int64)[own.place]
-        of_text = own.words.text_of_word()
+        counts = _told(told, "word_counts", np.int64)
         size = tokens + distinct + 1
-        base = np.bincount(of_text, np.log10((count + 1) / size), len(texts)) + np.log10((ends + 1) / size)
-        known = np.bincount(of_text, count > 0, len(texts)).astype(np.int64) + (ends > 0)
-        n_words = np.diff(own.words.first)
-        del own, count, of_text
-        key, cost = _told(told, "keys", np.uint64), _told(told, "costs", np.float32)
+        base, known = np.full(len(texts), np.log10((ends + 1) / size)), np.full(len(texts), int(ends > 0))
+        for lo, hi, text, place in own.each():
+            count = counts[place]
+            base[lo:hi] += np.bincount(text, np.log10((count + 1) / size), hi - lo)
+            known[lo:hi] += np.bincount(text, count > 0, hi - lo).astype(np.int64)
+        n_words = own.in_text
+        del own, counts
+        key, cost = pd.Index(_told(told, "keys", np.uint64)), _told(told, "costs", np.float32)
         scores = [np.empty(0)]
         for lo, hi in slices(texts, STEP_BYTES):
             coded, place, begin = _coded(texts[lo:hi], symbol)
-            code, asked = pd.factorize(_predictions(coded, place))
-            each = cost[np.searchsorted(key, asked)].astype(np.float64)[code]
+            each = cost[key.get_indexer(_predictions(coded, place))].astype(np.float64)
             scores.append(np.add.reduceat(each, begin[:-1]))
         return pa.Table.from_arrays(
             [

@@ -3,11 +3,14 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -498,6 +501,49 @@ def test_lm_score_learns_every_script(spark):
         assert abs(rows.loc[i].score - model.log10([b + 1 for b in raw[i]])) < 1e-3 + 1e-5 * abs(rows.loc[i].score)
 
 
+def test_lm_score_holds_little_more_than_a_batch():
+    """Of a batch of 10 MB no pass holds more than 10 times the text at once (whole batches and a table of 231^3 cells took 10 to 15)."""
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(map(chr, x)) for x in rng.integers(97, 123, (300, 6))])
+    texts = [" ".join(words[rng.integers(0, 300, 500)]).encode() for _ in range(3000)]
+    size, n = sum(map(len, texts)), len(texts)
+    batch = pa.table({"batch": np.zeros(n, int), "doc_id": np.arange(n), "text": pa.array(texts, pa.binary())})
+    symbol, peaks = lm_score.alphabet(), {}
+
+    def peak(name, work, *tables):
+        tracemalloc.start()
+        out = work(*tables)
+        peaks[name] = tracemalloc.get_traced_memory()[1] / size
+        tracemalloc.stop()
+        return out
+
+    counted = lm_score._count_words(peak("words", lm_score._ask_words(1), batch))
+    cells = pa.Table.from_batches(lm_score._count_cells(symbol)(iter(batch.to_batches())))
+    asked = peak("predictions", lm_score._ask_predictions(1, symbol), batch)
+    model = SimpleNamespace(value=lm_score.PartialMatching(cells["cell"].to_numpy(), cells["n"].to_numpy()))
+    priced = peak("costs", lm_score._answer_predictions(model), asked)
+    counted = counted.select(["batch", "part", "counts"]).rename_columns(["batch", "part", "word_counts"])
+    told = pa.concat_tables([counted, priced], promote_options="default")
+    scored = peak("scores", lm_score._score(symbol, 500 * n, 300, n), batch, told)
+    assert len(scored) == n and max(scored["score"].to_pylist()) < 0
+    assert max(peaks.values()) < 10, peaks
+
+
+def test_lm_costs_are_the_same_in_any_steps(monkeypatch):
+    """Nodes of three symbols smaller and larger than a step, and the end of the keys."""
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.choice(list(b"ab c"), 400).tolist()) for _ in range(20)]
+    symbol = lm_score.alphabet()
+    coded, place, _ = lm_score._coded(texts, symbol)
+    key, count = np.unique(lm_score._predictions(coded, place), return_counts=True)
+    cell, n = np.unique(lm_score._cells(coded, place), return_counts=True)
+    model = lm_score.PartialMatching(cell, n)
+    whole = lm_score.costs(key, count, model)
+    for step in (1, 7, 40, len(key) - 1, len(key)):
+        monkeypatch.setattr(lm_score, "STEP_KEYS", step)
+        assert (lm_score.costs(key, count, model) == whole).all()
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_queries_equal_sql(spark, sf, name):
     assert_same(QUERIES[name], SQL[name], spark, sf)
